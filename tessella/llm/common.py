@@ -74,6 +74,16 @@ def split_words(texts: list[bytes], keep: bytes = ALNUM) -> tuple[list[bytes], n
     return list(itertools.chain.from_iterable(parts)), counts
 
 
+def slices(texts: pa.Array, most: int = 4 << 20):
+    """Runs of rows of at most `most` bytes of text, or one row, so that work space doesn't follow the batch."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(texts) or not len(texts) and at == 0:
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 class WordIndex(dict):
     """Numbers words as they come; `new` holds those not yet looked at."""
 

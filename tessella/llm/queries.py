@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontam, sharding, sp_codec, tokencount
+from . import bagminhash, dac, decontam, sharding, sp_codec, tokencount
 from .common import prepare, table, tokenizer_path
 
 
@@ -15,6 +15,11 @@ def op1_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", of("text").alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
 
 
+def op3_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -36,5 +41,5 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op4_byte_balanced_shards, op5_dac_token_files, op8_token_counts, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op3_bagminhash_near_dedup, op4_byte_balanced_shards, op5_dac_token_files, op8_token_counts, op9_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
