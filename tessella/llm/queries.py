@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, dac, decontam, sharding, sp_codec, tokencount
+from . import bagminhash, dac, decontam, sharding, sp_codec, spotsigs, tokencount
 from .common import prepare, table, tokenizer_path
 
 
@@ -31,6 +31,10 @@ def op5_dac_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.written_and_read(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -41,5 +45,5 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op3_bagminhash_near_dedup, op4_byte_balanced_shards, op5_dac_token_files, op8_token_counts, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op3_bagminhash_near_dedup, op4_byte_balanced_shards, op5_dac_token_files, op6_spotsigs_fingerprints, op8_token_counts, op9_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
