@@ -45,6 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hash_limit(share: float) -> int:
+    """The signed 64-bit value that a uniform hash stays at or below with the given chance."""
+    return max(-(2**63), min(2**63 - 1, int(share * 2**64) - 2**63))
+
+
 def crc_fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

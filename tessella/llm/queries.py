@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, dac, decontam, sharding, sp_codec, spotsigs, tokencount
-from .common import prepare, table, tokenizer_path
+from . import bagminhash, dac, decontam, langid, sharding, sp_codec, spotsigs, tokencount, toxcnn
+from .common import crc_fold, prepare, table, tokenizer_path
 
 
 def op1_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,15 @@ def op1_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", of("text").alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
 
 
+def op2_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_fold(F.col("doc_id"), 4)
+    model = langid.fit(docs.where((fold != 2) & F.col("lang").isNotNull()))
+    predicted = docs.select("doc_id", (fold == 2).alias("held_out"), langid.predict(F.col("text"), model, spark).alias("p"))
+    return predicted.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+
+
 def op3_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return bagminhash.classes(table(spark, sf_dir, "documents"))
@@ -45,5 +54,14 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op3_bagminhash_near_dedup, op4_byte_balanced_shards, op5_dac_token_files, op6_spotsigs_fingerprints, op8_token_counts, op9_benchmark_decontamination)}
+def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_fold(F.col("doc_id"), 5)
+    model = toxcnn.learn(docs, table(spark, sf_dir, "labels").where(fold != 0))
+    scored = docs.select("doc_id", (fold == 0).alias("held_out"), toxcnn.score(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_kneser_ney_language, op3_bagminhash_near_dedup, op4_byte_balanced_shards, op5_dac_token_files, op6_spotsigs_fingerprints, op8_token_counts, op9_benchmark_decontamination, op10_toxicity_cnn)}
 ORACLE_SQL: dict[str, str] = {}
