@@ -206,7 +206,22 @@ def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, n_words for every row: near-duplicate classes over whole texts.
+    """doc_id, class_id, class_size, n_words for every row; see keyed_classes()."""
+    return keyed_classes(docs).select("doc_id", "class_id", "class_size", "n_words")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that lead their class: the least doc_id, then the least text hash.
+
+    Of rows that repeat an id and a text one stays; rows without words all stay, once for each id and text.
+    """
+    lead = keyed_classes(docs).where("doc_id = class_id and text_key = lead_key").select(F.col("doc_id").alias("own_doc_id"), F.col("text_key").alias("own_text_key")).distinct()
+    marked = docs.withColumns({"own_doc_id": F.coalesce("doc_id", F.lit(-1)).cast("long"), "own_text_key": F.xxhash64("text")})
+    return marked.join(lead, ["own_doc_id", "own_text_key"], "left_semi").dropDuplicates(["own_doc_id", "own_text_key"]).select(*docs.columns)
+
+
+def keyed_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, class_id, lead_key, class_size, n_words for every row: near-duplicate classes over whole texts.
 
     Documents are linked when the weighted Jaccard of their multisets of 5-word shingles (lower case;
     ASCII letters, digits and everything beyond ASCII make words) is 0.8 or more, and a class is a
@@ -262,8 +277,8 @@ def classes(docs: DataFrame) -> DataFrame:
         edges = fresh if edges is None else edges.union(fresh)
         labels = components(nodes, edges)
     final = texts.select("id", "first", "copies").join(labels, "id")
-    lead = final.groupBy("root").agg(F.min("first.doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    of = final.join(lead, "root").select(F.col("id").alias("bag_hash"), "class_id", "class_size")
-    out = ["doc_id", "class_id", "class_size", "n_words"]
-    none = rows.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_words")
-    return worded.select("doc_id", "bag_hash", "n_words").join(of, "bag_hash").select(*out).unionByName(none)
+    lead = final.groupBy("root").agg(F.min("first").alias("lead"), F.sum("copies").alias("class_size"))
+    of = final.join(lead, "root").select(F.col("id").alias("bag_hash"), F.col("lead.doc_id").alias("class_id"), F.col("lead.text_key").alias("lead_key"), "class_size")
+    out = ["doc_id", "text_key", "class_id", "lead_key", "class_size", "n_words"]
+    none = rows.where("n_words = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.col("text_key").alias("lead_key"), F.lit(1).cast("long").alias("class_size"), "n_words")
+    return worded.select("doc_id", "text_key", "bag_hash", "n_words").join(of, "bag_hash").select(*out).unionByName(none)

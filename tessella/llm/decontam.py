@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 10
@@ -55,6 +55,7 @@ class Index:
             self.anchors[int(w[place])].append((k, place))
         self.is_anchor = np.zeros(len(self.number) + 1, bool)
         self.is_anchor[list(self.anchors)] = True
+        self.anchor_words = {w for w, i in self.number.items() if self.is_anchor[i]}
 
     def match(self, ids: np.ndarray) -> tuple[np.ndarray, set[str]]:
         """Positions of words in any occurrence of a window, and the items that have one. ids: -1 for words of no item."""
@@ -101,20 +102,18 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, b
     yield block
 
 
-def _hits(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id, text_hash, n_words, places array<int>, items array<string> for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+def _hits(text: Column, index: Index, spark: SparkSession) -> Column:
+    """struct<n_words, places array<int>, items array<string>> of a text."""
+    shared = spark.sparkContext.broadcast(index)
 
     @F.arrow_udf("n_words long, places array<int>, items array<string>")
     def of(texts: pa.Array) -> pa.Array:
         index = shared.value
         get, n, places, items = index.number.get, [], [], []
-        anchors = {w for w, i in index.number.items() if index.is_anchor[i]} if not hasattr(index, "anchor_words") else index.anchor_words
-        index.anchor_words = anchors
         for t in _utf8(texts):
             ws = words(t)
             n.append(len(ws))
-            if anchors.isdisjoint(ws):
+            if index.anchor_words.isdisjoint(ws):
                 places.append([])
                 items.append([])
                 continue
@@ -123,7 +122,23 @@ def _hits(docs: DataFrame, index: Index) -> DataFrame:
             items.append(sorted(own))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["n_words", "places", "items"])
 
-    return docs.select("doc_id", "text", of("text").alias("h")).select("doc_id", F.xxhash64("text").alias("text_hash"), "h.*")
+    return of(text)
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
+    """An index for each block of the benchmark, its words ordered by how rare they are in all of `docs`."""
+    vocabulary = sorted({w for b in blocks(benchmark, block_bytes) for _, t in b for w in words(t)})
+    counts = corpus_counts(docs, vocabulary) if vocabulary else {}
+    for b in blocks(benchmark, block_bytes):
+        yield Index(b, counts, window)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose texts have no word in an occurrence of a benchmark window."""
+    out = docs
+    for index in indexes(docs, benchmark, window, block_bytes):
+        out = out.where(F.size(_hits(F.col("text"), index, docs.sparkSession)["places"]) == 0)
+    return out
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -135,9 +150,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     are ignored. The benchmark is the stated query set: its index goes to the workers by blocks of
     bounded size, and each block meets all documents.
     """
-    vocabulary = sorted({w for b in blocks(benchmark, block_bytes) for _, t in b for w in words(t)})
-    counts = corpus_counts(docs, vocabulary) if vocabulary else {}
-    found = [_hits(docs, Index(b, counts, window)) for b in blocks(benchmark, block_bytes)]
+    found = [
+        docs.select("doc_id", "text", _hits(F.col("text"), i, docs.sparkSession).alias("h")).select("doc_id", F.xxhash64("text").alias("text_hash"), "h.*")
+        for i in indexes(docs, benchmark, window, block_bytes)
+    ]
     if len(found) == 1:
         return found[0].drop("text_hash")
     every = found[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, dac, decontam, langid, sharding, sp_codec, spotsigs, tokencount, toxcnn
+from . import bagminhash, dac, decontam, langid, pseudolm, sharding, sp_codec, spotsigs, tokencount, toxcnn
 from .common import crc_fold, prepare, table, tokenizer_path
 
 
@@ -44,6 +44,11 @@ def op6_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited(table(spark, sf_dir, "documents"))
 
 
+def op7_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pseudolm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -63,5 +68,5 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_kneser_ney_language, op3_bagminhash_near_dedup, op4_byte_balanced_shards, op5_dac_token_files, op6_spotsigs_fingerprints, op8_token_counts, op9_benchmark_decontamination, op10_toxicity_cnn)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_kneser_ney_language, op3_bagminhash_near_dedup, op4_byte_balanced_shards, op5_dac_token_files, op6_spotsigs_fingerprints, op7_masked_pseudo_likelihood, op8_token_counts, op9_benchmark_decontamination, op10_toxicity_cnn)}
 ORACLE_SQL: dict[str, str] = {}

@@ -115,18 +115,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", text_of("ids").alias("text"))
 
 
-def digests(path: str):
-    """A column function: text to struct<n_tokens, ids_sha256, decoded_sha256> of the encoding with its end id."""
+def digests(path: str, with_ids: bool = False):
+    """A column function: text to struct<n_tokens, ids_sha256, decoded_sha256> of the encoding with its end id, and its ids."""
 
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def of(texts: pa.Array) -> pa.Array:
         c = codec(path)
         rows = c.segment(_strings(texts))
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         n = np.fromiter((sum(len(e[0]) for e in r) + 1 for r in rows), np.int64, len(rows))
-        return pa.StructArray.from_arrays(
-            [pa.array(n), pa.array([sha(c.id_text(r)) for r in rows], pa.string()), pa.array([sha(c.decoded(r)) for r in rows], pa.string())],
-            ["n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        cols = {"n_tokens": pa.array(n), "ids_sha256": pa.array([sha(c.id_text(r)) for r in rows], pa.string()), "decoded_sha256": pa.array([sha(c.decoded(r)) for r in rows], pa.string())}
+        if with_ids:
+            cols["ids"] = pa.array([c.ids(r) for r in rows], pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays(list(cols.values()), list(cols))
 
     return of
