@@ -10,19 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import ByteBpe, encoder
+from .bytebpe import ByteBpe, Pieces, encoder
 
 
 class PieceCounts:
     """Pieces of each distinct pre-token, counted once; documents bring pre-token frequencies.
 
     The distinct table belongs to a worker and lives on over its batches: joined there, frequencies need
-    no shuffle. It is dropped when it passes `limit` pre-tokens and filled again as they come.
+    no shuffle. Past `limit` pre-tokens the older half goes, to be counted again if it comes.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         self.enc = encoder(path)
-        self.limit, self.table = limit, {}
+        self.table = Pieces(self.pieces, limit)
+
+    def pieces(self, pre_token: str) -> int:
+        return len(self.enc.encode(pre_token)) // self.enc.type.itemsize
 
     def frequencies(self, text: str) -> Counter:
         return Counter(self.enc.parts(text) if isinstance(self.enc, ByteBpe) else self.enc.codec.words(text))
@@ -30,13 +33,9 @@ class PieceCounts:
     def of(self, texts: list[str]) -> list[int]:
         if not isinstance(self.enc, ByteBpe):
             return self.enc.counts(texts)
-        if len(self.table) > self.limit:
-            self.table.clear()
-        bags = [self.frequencies(t) for t in texts]
-        if new := set().union(*bags).difference(self.table):
-            new = list(new)
-            self.table.update(zip(new, map(len, self.enc._encode(new))))
+        self.table.turn()
         get = self.table.__getitem__
+        bags = map(self.frequencies, texts)
         return [sum(map(operator.mul, map(get, b), b.values())) for b in bags]
 
 
