@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WordIndex, cut, lowered, slices, split_words
+from .common import ALNUM, WordIndex, cut, held, lowered, release, slices, split_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -16,8 +16,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Pairs whose signatures agree on fewer components than this aren't verified: 4 deviations below 0.8.
 LEAST_AGREE = int(BANDS * ROWS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5))
-#: Buckets of more texts than this are also dealt by pairs of bands.
-LARGE = 4
+#: From this round on, buckets of more texts than LARGE that hold several classes are dealt by pairs of bands.
+PAIRED, LARGE = 3, 4
+ROUNDS = 4
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -98,8 +99,8 @@ class Hasher:
         self.index, self.values = WordIndex(), np.zeros(0, np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if self.index.full():
-            self.__init__()
+        if (kept := self.index.shrunk()) is not None:
+            self.values = self.values[kept]
         at = self.index.numbers(words)
         if self.index.new:
             self.values = np.concatenate([self.values, np.fromiter(map(xxhash.xxh64_intdigest, self.index.new), np.uint64, len(self.index.new))])
@@ -107,12 +108,9 @@ class Hasher:
         return self.values[at]
 
 
-_hasher = Hasher()
-
-
 def text_bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     words, counts = split_words(lowered(texts), ALNUM)
-    return (*bags(_hasher.of(words), counts), counts)
+    return (*bags(held("words", "shingles", lambda _: Hasher()).of(words), counts), counts)
 
 
 def _sketch_slice(texts: pa.Array) -> pa.Array:
@@ -177,22 +175,31 @@ def overlap(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, root: the least id of each node's component. Labels spread along edges and then along labels until none changes.
+def components(links: DataFrame) -> DataFrame:
+    """id, root: the least id of the component of each end of `links` (a, b). Labels spread along links and then along labels until none changes.
 
-    Rounds of joins over a checkpointed table; nothing but the number of changes comes to the driver.
+    Rounds of joins over checkpointed tables; nothing but whether a label changed comes to the driver.
     """
-    links = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
+    both = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
     while True:
-        around = links.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        spread = labels.join(around, "id").select("id", "root", F.least("root", "near").alias("to"))
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "root", F.lit(None).cast("long").alias("own"))
+        spread = near.union(labels.select("id", "root", F.col("root").alias("own"))).groupBy("id").agg(F.min("root").alias("to"), F.max("own").alias("was"))
         jump = labels.select(F.col("id").alias("to"), F.col("root").alias("far"))
-        new = cut(spread.join(jump, "to", "left").select("id", F.col("root").alias("was"), F.least("to", F.coalesce("far", "to")).alias("root")))
+        new = cut(spread.join(jump, "to").select("id", F.least("to", "far").alias("root"), "was"))
         labels = new.select("id", "root")
         if new.where("root <> was").isEmpty():
-            break
-    return cut(nodes.join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+            return labels
+
+
+def relabelled(labels: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Labels (id, root) after new links between ids: the roots that the links tie together are merged."""
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+    ties = cut(fresh.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    if ties.isEmpty():
+        return labels
+    merged = components(ties).select(F.col("id").alias("root"), F.col("root").alias("to"))
+    return cut(labels.join(merged, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
 
 
 def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -233,7 +240,9 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
 
     Buckets are never paired out: in each band's bucket every text meets the bucket's head, in rounds
     with other heads, then, within large buckets that still hold several classes, the heads of the
-    buckets of pairs of bands. Every round is linear in the rows of the buckets.
+    buckets of pairs of bands. Every round is linear in the rows of the buckets. In a group of
+    thousands of texts that are mostly further apart than 0.8, a text with very few partners can
+    miss them all; the README has figures.
     """
     base = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text")
     rows = cut(base.select("doc_id", F.xxhash64("text").alias("text_key"), sketch(F.col("text")).alias("s")).select("doc_id", "text_key", "s.*"))
@@ -243,39 +252,42 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
         worded.groupBy(F.col("bag_hash").alias("id"))
         .agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.min_by("bands", first).alias("bands"), F.min_by("sig", first).alias("sig"))
     )
-    nodes = texts.select("id")
     placed = texts.select("id", "copies", F.posexplode("bands").alias("band", "key"))
     shared = cut(placed.join(placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"]))
     # The texts that share a bucket with another, fetched once for all rounds.
     wanted = shared.select("id").distinct().join(texts.select("id", "first.*"), "id")
-    held = cut(
+    stock = cut(
         base.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted, ["doc_id", "text_key"]).dropDuplicates(["id"]).join(texts.select("id", "sig"), "id")
         .select("id", "sig", "text")
     )
-    labels = nodes.withColumn("root", F.col("id"))
-    edges = tested = None
-    for turn in range(4):
-        heat = -F.col("copies") if turn == 0 else F.lit(0).cast("long")
-        now = shared.join(labels, "id").select("id", "root", F.struct(heat.alias("c"), F.xxhash64("id", F.lit(turn)).alias("h")).alias("rank"), "band", "key", "n")
+    labels = texts.select("id", F.col("id").alias("root"))
+    tested = None
+    for turn in range(ROUNDS):
+        # First the texts with most copies head their buckets, then any.
+        now = shared.join(labels, "id")
         if turn:
-            several = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-            now = now.join(several, ["band", "key"])
-        if turn < 3:
+            several = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").where(F.col("n") > (LARGE if turn >= PAIRED else 1))
+            now = now.drop("n").join(several.select("band", "key"), ["band", "key"])
+        heat = -F.col("copies") if turn == 0 else F.lit(0).cast("long")
+        now = now.select("id", "root", F.struct(heat.alias("c"), F.xxhash64("id", F.lit(turn)).alias("h")).alias("rank"), "band", "key")
+        if turn < PAIRED:
             pairs = _stars(now, ["band", "key"])
         else:
-            own = texts.select("id", "bands")
-            finer = now.where(F.col("n") > LARGE).join(own, "id").select("id", "root", "rank", "band", "key", F.posexplode("bands").alias("band2", "key2")).where("band2 > band")
-            pairs = _stars(finer, ["band", "key", "band2", "key2"])
+            rest = F.slice("bands", F.col("band") + 2, BANDS)
+            finer = now.join(texts.select("id", "bands"), "id").select("id", "root", "rank", "band", "key", F.posexplode(rest).alias("further", "key2"))
+            pairs = _stars(finer, ["band", "key", "further", "key2"])
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        side = lambda x, *more: held.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
+        side = lambda x, *more: stock.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
         near = cut(pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b").where(agreement(F.col("sig_a"), F.col("sig_b")) >= LEAST_AGREE).select("a", "b"))
         if near.isEmpty():
+            if turn == 0:
+                break
             continue
         tested = near if tested is None else tested.union(near)
         fresh = cut(near.join(side("a", "text"), "a").join(side("b", "text"), "b").where(overlap(F.col("text_a"), F.col("text_b")) >= SIMILARITY).select("a", "b"))
-        edges = fresh if edges is None else edges.union(fresh)
-        labels = components(nodes, edges)
+        labels = relabelled(labels, fresh)
+        release(docs.sparkSession)
     final = texts.select("id", "first", "copies").join(labels, "id")
     lead = final.groupBy("root").agg(F.min("first").alias("lead"), F.sum("copies").alias("class_size"))
     of = final.join(lead, "root").select(F.col("id").alias("bag_hash"), F.col("lead.doc_id").alias("class_id"), F.col("lead.text_key").alias("lead_key"), "class_size")

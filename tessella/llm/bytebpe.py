@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
+from .common import held
 from .sp_codec import PieceCodec
 
 #: A blank inside a longer run of white space, where a cut would change the pre-tokens.
@@ -153,6 +153,5 @@ class SentencePieces:
         return [np.array(self.codec.ids(r, False), np.uint32) for r in self.codec.segment(texts)]
 
 
-@lru_cache(2)
 def encoder(path: str):
-    return SentencePieces(path) if path.endswith(".model") else ByteBpe(path)
+    return held("encoder", path, lambda p: SentencePieces(p) if p.endswith(".model") else ByteBpe(p))

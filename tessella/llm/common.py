@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 
@@ -79,7 +80,7 @@ def split_words(texts: list[bytes], keep: bytes = ALNUM) -> tuple[list[bytes], n
     return list(itertools.chain.from_iterable(parts)), counts
 
 
-def slices(texts: pa.Array, most: int = 4 << 20):
+def slices(texts: pa.Array, most: int = 1 << 20):
     """Runs of rows of at most `most` bytes of text, or one row, so that work space doesn't follow the batch."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = 0
@@ -94,18 +95,48 @@ class WordIndex(dict):
 
     def __init__(self, limit: int = 300_000):
         super().__init__()
-        self.limit, self.new = limit, []
+        self.limit, self.new, self.hits = limit, [], np.zeros(0, np.int64)
 
     def __missing__(self, word):
         i = self[word] = len(self)
         self.new.append(word)
         return i
 
-    def full(self) -> bool:
-        return len(self) > self.limit
-
     def numbers(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        hits = np.bincount(at, minlength=len(self))
+        hits[: len(self.hits)] += self.hits
+        self.hits = hits
+        return at
+
+    def shrunk(self) -> np.ndarray | None:
+        """Past the limit, keeps the more frequent half, whose former numbers it returns in the new order."""
+        if len(self) <= self.limit:
+            return None
+        kept = np.sort(np.argsort(-self.hits, kind="stable")[: self.limit // 2])
+        words = list(self)
+        self.clear()
+        self.update((words[k], i) for i, k in enumerate(kept.tolist()))
+        self.hits = self.hits[kept] // 2
+        return kept
+
+
+class Table(dict):
+    """A table of distinct keys of bounded size: past the limit the older half goes, but for keys in use."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.half, self.old = limit // 2, {}
+
+    def missing(self, keys: set) -> list:
+        """Makes room and returns the keys that have no value yet."""
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        known = new.intersection(self.old)
+        self.update((k, self.old[k]) for k in known)
+        return list(new.difference(known))
 
 
 def doc_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -124,6 +155,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_held: tuple = (None, None, None)
+
+
+def held(kind: str, source, make):
+    """What a worker keeps between batches: one thing at a time, so that reused workers don't gather all operators' tables."""
+    global _held
+    if _held[0] != kind or not (_held[1] is source or isinstance(source, str) and _held[1] == source):
+        _held = (None, None, None)
+        _held = (kind, source, make(source))
+    return _held[2]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of rounds that are over, which it does as the driver's garbage goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # --- global order ------------------------------------------------------------
 
 def global_prefix(df: DataFrame, order: list[Column], value: Column) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, WordIndex, doc_sums, hash_limit, lowered, slices, split_words
+from .common import LETTERS, WordIndex, doc_sums, hash_limit, held, lowered, slices, split_words
 
 ORDER = 5
 #: Bounds of the training sample: documents a language, and characters a document.
@@ -130,17 +130,13 @@ class Scorer:
     """Scores each distinct word once; documents add their words up."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.reset()
-
-    def reset(self) -> None:
-        self.index, n = WordIndex(), len(self.model.langs)
-        self.cost, self.chars = np.zeros((0, n), np.float32), np.zeros(0, np.int64)
+        self.model, self.index = model, WordIndex()
+        self.cost, self.chars = np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int64)
 
     def entropies(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Nats a character in each language, and characters, of each text; characters 0: no letter."""
-        if self.index.full():
-            self.reset()
+        if (kept := self.index.shrunk()) is not None:
+            self.cost, self.chars = self.cost[kept], self.chars[kept]
         words, counts = split_words(texts, LETTERS)
         at = self.index.numbers(words)
         if self.index.new:
@@ -213,12 +209,9 @@ def fit(labelled: DataFrame) -> Model | None:
     samples = sample(labelled)
     if not samples:
         return None
-    held = {k: v[::CALIBRATE] if len(v) >= 2 * CALIBRATE else [] for k, v in samples.items()}
-    kept = {k: [t for i, t in enumerate(v) if not held[k] or i % CALIBRATE] for k, v in samples.items()}
-    return calibrate(train(kept), [(k, t) for k in sorted(samples) for t in (held[k] or samples[k])])
-
-
-_scorers: dict[int, Scorer] = {}
+    apart = {k: v[::CALIBRATE] if len(v) >= 2 * CALIBRATE else [] for k, v in samples.items()}
+    kept = {k: [t for i, t in enumerate(v) if not apart[k] or i % CALIBRATE] for k, v in samples.items()}
+    return calibrate(train(kept), [(k, t) for k in sorted(samples) for t in (apart[k] or samples[k])])
 
 
 def predict(text: Column, model: Model | None, spark) -> Column:
@@ -233,13 +226,10 @@ def predict(text: Column, model: Model | None, spark) -> Column:
 
     @F.arrow_udf("lang_pred string, score double, rejected boolean")
     def of(texts: pa.Array) -> pa.Array:
-        m = shared.value
-        if id(m) not in _scorers:
-            _scorers.clear()
-            _scorers[id(m)] = Scorer(m)
-        out = []
+        m, out = shared.value, []
+        scorer = held("langid", m, Scorer)
         for part in slices(texts):
-            h, chars = _scorers[id(m)].entropies(lowered(part))
+            h, chars = scorer.entropies(lowered(part))
             best, score, rejected = judge(m, h, chars)
             lang = [m.langs[b] if c else UNDETERMINED for b, c in zip(best, chars)]
             out.append(pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["lang_pred", "score", "rejected"]))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WordIndex, doc_sums, lowered, slices, split_words
+from .common import ALNUM, WordIndex, doc_sums, held, lowered, slices, split_words
 
 CLASSES, MEMBERS = 32, 32
 #: Tokens: the most frequent words of the corpus, then buckets that share all other words by hash.
@@ -102,8 +102,8 @@ class Network:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    x /= x.sum(1, keepdims=True)
+    x = np.exp(np.clip(x, -60, 60))  # in range for 32-bit floats, and quicker than each row's maximum
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return np.maximum(x, 1e-12)
 
 
@@ -112,14 +112,11 @@ class Tokens:
 
     def __init__(self, frequent: list[bytes]):
         self.own = {w: i for i, w in enumerate(frequent)}
-        self.reset()
-
-    def reset(self) -> None:
         self.index, self.numbers = WordIndex(), np.zeros(0, np.int64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if self.index.full():
-            self.reset()
+        if (kept := self.index.shrunk()) is not None:
+            self.numbers = self.numbers[kept]
         at = self.index.numbers(words)
         if self.index.new:
             new = np.fromiter((self.own.get(w, FREQUENT + zlib.crc32(w) % BUCKETS) for w in self.index.new), np.int64, len(self.index.new))
@@ -201,9 +198,6 @@ def fit(docs: DataFrame, frequent: list[bytes]) -> Network:
     return Network.from_flat(np.round(flat, 6))
 
 
-_tokens: dict[int, Tokens] = {}
-
-
 def log_likelihood(text: Column, net: Network, frequent: list[bytes], spark) -> Column:
     """struct<n_tokens, pll>: the number of words of a whole text, and the sum of log p of each given its neighbours."""
     shared = spark.sparkContext.broadcast((net, frequent))  # of fixed size
@@ -211,13 +205,10 @@ def log_likelihood(text: Column, net: Network, frequent: list[bytes], spark) ->
     @F.arrow_udf("n_tokens long, pll double")
     def of(texts: pa.Array) -> pa.Array:
         net, frequent = shared.value
-        if id(frequent) not in _tokens:
-            _tokens.clear()
-            _tokens[id(frequent)] = Tokens(frequent)
-        out = []
+        tokens, out = held("pseudolm", frequent, Tokens), []
         for part in slices(texts):
             words, counts = split_words(lowered(part), ALNUM)
-            ids = _tokens[id(frequent)].of(words)
+            ids = tokens.of(words)
             around = neighbours(ids, counts)
             log_p = np.concatenate([net.forward([a[i : i + STEP] for a in around], ids[i : i + STEP]) for i in range(0, len(ids), STEP)] or [np.zeros(0, np.float32)])
             out.append(pa.StructArray.from_arrays([pa.array(counts), pa.array(doc_sums(log_p.astype(np.float64), counts))], ["n_tokens", "pll"]))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Table, held
+
 MARK = "▁"
 _RUNS = re.compile(" +[^ ]*")
 
@@ -28,7 +29,7 @@ class PieceCodec:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.limit, self.table = limit, {}
+        self.table = Table(limit)
         self.eos, self.mark_id = self.sp.eos_id(), self.sp.piece_to_id(MARK)
         self.independent = self._independent()
 
@@ -41,10 +42,8 @@ class PieceCodec:
 
     def _fill(self, words: list[str]) -> None:
         ids = self.sp.encode([w[1:] for w in words], num_threads=1)  # the library puts the first mark itself
-        for w, own in zip(words, ids):
-            if w == " ":
-                own = [self.mark_id]  # the library gives nothing for an empty text
-            self.table[w] = (own, " ".join(map(str, own)), self.sp.decode(own))
+        ids = [own or [self.mark_id] for own in ids]  # and gives nothing for a mark alone
+        self.table.update((w, (own, " ".join(map(str, own)), text)) for w, own, text in zip(words, ids, self.sp.decode(ids, num_threads=1)))
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -61,11 +60,9 @@ class PieceCodec:
                 ids = self.sp.encode(t)
                 out.append([(ids, " ".join(map(str, ids)), self.sp.decode(ids))] if ids else [])
             return out
-        if len(self.table) > self.limit:  # only a cache: what is dropped is segmented again
-            self.table.clear()
         parts = [self.words(t) for t in texts]
-        if new := set().union(*parts).difference(self.table):
-            self._fill(list(new))
+        if new := self.table.missing(set().union(*parts)):
+            self._fill(new)
         get = self.table.__getitem__
         return [list(map(get, p)) for p in parts]
 
@@ -81,9 +78,8 @@ class PieceCodec:
         return " ".join([e[2] for e in entries])
 
 
-@lru_cache(2)
 def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+    return held("codec", path, PieceCodec)
 
 
 def _strings(texts: pa.Array) -> list[str]:

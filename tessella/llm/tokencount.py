@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import operator
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import ByteBpe, Pieces, encoder
+from .bytebpe import ByteBpe, Pieces, SentencePieces
+from .common import held
 
 
 class PieceCounts:
@@ -21,7 +21,7 @@ class PieceCounts:
     """
 
     def __init__(self, path: str, limit: int = 600_000):
-        self.enc = encoder(path)
+        self.enc = SentencePieces(path) if path.endswith(".model") else ByteBpe(path)
         self.table = Pieces(self.pieces, limit)
 
     def pieces(self, pre_token: str) -> int:
@@ -39,9 +39,8 @@ class PieceCounts:
         return [sum(map(operator.mul, map(get, b), b.values())) for b in bags]
 
 
-@lru_cache(2)
 def counter(path: str) -> PieceCounts:
-    return PieceCounts(path)
+    return held("counter", path, PieceCounts)
 
 
 def token_count(path: str):
