@@ -26,7 +26,8 @@ def _hashes(codes: np.ndarray, offset: np.ndarray, order: int) -> np.ndarray:
     """Hash of the `order` codes up to each place; 0 where a word has fewer before it."""
     h = np.full(len(codes), np.uint64(0xCBF29CE484222325) + np.uint64(order))
     for j in range(order - 1, -1, -1):
-        c = np.concatenate([np.zeros(j, np.uint64), codes[: len(codes) - j].astype(np.uint64)])
+        c = np.zeros(len(codes), np.uint64)
+        c[j:] = codes[: max(len(codes) - j, 0)]
         h = (h ^ c) * _PRIME
         h ^= h >> np.uint64(29)
     h[offset < order - 1] = 0
