@@ -16,9 +16,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Pairs whose signatures agree on fewer components than this aren't verified: 4 deviations below 0.8.
 LEAST_AGREE = int(BANDS * ROWS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5))
-#: From this round on, buckets of more texts than LARGE that hold several classes are dealt by pairs of bands.
-PAIRED, LARGE = 3, 4
-ROUNDS = 4
+#: Buckets of more texts than this that hold several classes are also dealt by pairs of bands.
+LARGE = 4
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -202,14 +201,11 @@ def relabelled(labels: DataFrame, fresh: DataFrame) -> DataFrame:
     return cut(labels.join(merged, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
 
 
-def _stars(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """In each bucket, every text against the bucket's head only: pairs a < b of texts not yet in one class."""
-    heads = rows.groupBy(*keys).agg(F.min_by(F.struct("id", "root"), F.struct("rank", "id")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    return (
-        rows.join(heads, keys).where("root <> head.root")
-        .select(F.least(F.col("id"), F.col("head.id")).alias("a"), F.greatest(F.col("id"), F.col("head.id")).alias("b"))
-        .distinct()
-    )
+def _stars(rows: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
+    """In each bucket, every text against the bucket's heads only, one for each rank: pairs a < b of texts not yet in one class."""
+    heads = rows.groupBy(*keys).agg(F.array_distinct(F.array(*(F.min_by(F.struct("id", "root"), r) for r in ranks))).alias("heads"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = rows.drop("n").join(heads, keys).select("id", "root", F.explode("heads").alias("head")).where("root <> head.root")
+    return met.select(F.least(F.col("id"), F.col("head.id")).alias("a"), F.greatest(F.col("id"), F.col("head.id")).alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -238,9 +234,8 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     count as the id -1. Rows that repeat an id take part each with its own text. An empty table gives no
     rows. Other columns are ignored.
 
-    Buckets are never paired out: in each band's bucket every text meets the bucket's head, in rounds
-    with other heads, then, within large buckets that still hold several classes, the heads of the
-    buckets of pairs of bands. Every round is linear in the rows of the buckets. In a group of
+    Buckets are never paired out: in each band's bucket every text meets the bucket's three heads, then,
+    within large buckets that still hold several classes, the heads of the buckets of pairs of bands. Either round is linear in the rows of the buckets. In a group of
     thousands of texts that are mostly further apart than 0.8, a text with very few partners can
     miss them all; the README has figures.
     """
@@ -262,29 +257,23 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     )
     labels = texts.select("id", F.col("id").alias("root"))
     tested = None
-    for turn in range(ROUNDS):
-        # First the texts with most copies head their buckets, then any.
+    for turn in range(2):
         now = shared.join(labels, "id")
-        if turn:
-            several = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").where(F.col("n") > (LARGE if turn >= PAIRED else 1))
-            now = now.drop("n").join(several.select("band", "key"), ["band", "key"])
-        heat = -F.col("copies") if turn == 0 else F.lit(0).cast("long")
-        now = now.select("id", "root", F.struct(heat.alias("c"), F.xxhash64("id", F.lit(turn)).alias("h")).alias("rank"), "band", "key")
-        if turn < PAIRED:
-            pairs = _stars(now, ["band", "key"])
+        if not turn:
+            # The text with most copies heads a bucket, and two drawn by hash.
+            pairs = _stars(now, ["band", "key"], [F.struct(-F.col("copies"), F.xxhash64("id", F.lit(0)), "id"), *(F.struct(F.xxhash64("id", F.lit(k)), "id") for k in (1, 2))])
         else:
+            open_ = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").where(F.col("size") > LARGE).select("band", "key")
             rest = F.slice("bands", F.col("band") + 2, BANDS)
-            finer = now.join(texts.select("id", "bands"), "id").select("id", "root", "rank", "band", "key", F.posexplode(rest).alias("further", "key2"))
-            pairs = _stars(finer, ["band", "key", "further", "key2"])
+            finer = now.join(open_, ["band", "key"]).join(texts.select("id", "bands"), "id").select("id", "root", "band", "key", F.posexplode(rest).alias("further", "key2"))
+            pairs = _stars(finer, ["band", "key", "further", "key2"], [F.struct(F.xxhash64("id", F.lit(3)), "id")])
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         side = lambda x, *more: stock.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
         near = cut(pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b").where(agreement(F.col("sig_a"), F.col("sig_b")) >= LEAST_AGREE).select("a", "b"))
         if near.isEmpty():
-            if turn == 0:
-                break
-            continue
-        tested = near if tested is None else tested.union(near)
+            break
+        tested = near
         fresh = cut(near.join(side("a", "text"), "a").join(side("b", "text"), "b").where(overlap(F.col("text_a"), F.col("text_b")) >= SIMILARITY).select("a", "b"))
         labels = relabelled(labels, fresh)
         release(docs.sparkSession)

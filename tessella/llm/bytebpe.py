@@ -147,7 +147,7 @@ class SentencePieces:
         self.codec = PieceCodec(path)
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [sum(len(e[0]) for e in r) for r in self.codec.segment(texts)]
+        return [sum(e[0] for e in r) for r in self.codec.segment(texts)]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(self.codec.ids(r, False), np.uint32) for r in self.codec.segment(texts)]

@@ -93,7 +93,7 @@ def slices(texts: pa.Array, most: int = 1 << 20):
 class WordIndex(dict):
     """Numbers words as they come; `new` holds those not yet looked at."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit, self.new, self.hits = limit, [], np.zeros(0, np.int64)
 

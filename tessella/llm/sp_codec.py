@@ -25,7 +25,7 @@ class PieceCodec:
     blanks, whole texts go to the library instead.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 160_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -43,7 +43,7 @@ class PieceCodec:
     def _fill(self, words: list[str]) -> None:
         ids = self.sp.encode([w[1:] for w in words], num_threads=1)  # the library puts the first mark itself
         ids = [own or [self.mark_id] for own in ids]  # and gives nothing for a mark alone
-        self.table.update((w, (own, " ".join(map(str, own)), text)) for w, own, text in zip(words, ids, self.sp.decode(ids, num_threads=1)))
+        self.table.update((w, (len(own), " ".join(map(str, own)), text)) for w, own, text in zip(words, ids, self.sp.decode(ids, num_threads=1)))
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -53,12 +53,12 @@ class PieceCodec:
         return _RUNS.findall(" " + text.replace(MARK, " "))
 
     def segment(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text, by position: ids, ids as text and decoded text of each marked word."""
+        """For each text, by position: number of ids, ids as text and decoded text of each marked word."""
         if not self.independent:
             out = []
             for t in texts:
                 ids = self.sp.encode(t)
-                out.append([(ids, " ".join(map(str, ids)), self.sp.decode(ids))] if ids else [])
+                out.append([(len(ids), " ".join(map(str, ids)), self.sp.decode(ids))] if ids else [])
             return out
         parts = [self.words(t) for t in texts]
         if new := self.table.missing(set().union(*parts)):
@@ -67,7 +67,7 @@ class PieceCodec:
         return [list(map(get, p)) for p in parts]
 
     def ids(self, entries: list[tuple], end: bool = True) -> list[int]:
-        return [i for e in entries for i in e[0]] + [self.eos] * end
+        return list(map(int, self.id_text(entries, end).split()))
 
     def id_text(self, entries: list[tuple], end: bool = True) -> str:
         return " ".join([e[1] for e in entries] + [str(self.eos)] * end)
@@ -119,7 +119,7 @@ def digests(path: str, with_ids: bool = False):
         c = codec(path)
         rows = c.segment(_strings(texts))
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        n = np.fromiter((sum(len(e[0]) for e in r) + 1 for r in rows), np.int64, len(rows))
+        n = np.fromiter((sum(e[0] for e in r) + 1 for r in rows), np.int64, len(rows))
         cols = {"n_tokens": pa.array(n), "ids_sha256": pa.array([sha(c.id_text(r)) for r in rows], pa.string()), "decoded_sha256": pa.array([sha(c.decoded(r)) for r in rows], pa.string())}
         if with_ids:
             cols["ids"] = pa.array([c.ids(r) for r in rows], pa.list_(pa.int32()))
