@@ -18,6 +18,8 @@ BANDS, ROWS = 25, 5
 LEAST_AGREE = int(BANDS * ROWS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5))
 #: Buckets of more texts than this that hold several classes are also dealt by pairs of bands.
 LARGE = 4
+#: Heads of such a finer bucket.
+FINER_HEADS = 4
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -204,7 +206,8 @@ def relabelled(labels: DataFrame, fresh: DataFrame) -> DataFrame:
 def _stars(rows: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
     """In each bucket, every text against the bucket's heads only, one for each rank: pairs a < b of texts not yet in one class."""
     heads = rows.groupBy(*keys).agg(F.array_distinct(F.array(*(F.min_by(F.struct("id", "root"), r) for r in ranks))).alias("heads"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = rows.drop("n").join(heads, keys).select("id", "root", F.explode("heads").alias("head")).where("root <> head.root")
+    others = F.filter("heads", lambda h: h["root"] != F.col("root"))
+    met = rows.select("id", "root", *keys).join(heads, keys).where(F.size(others) > 0).select("id", F.explode(others).alias("head"))
     return met.select(F.least(F.col("id"), F.col("head.id")).alias("a"), F.greatest(F.col("id"), F.col("head.id")).alias("b")).distinct()
 
 
@@ -264,9 +267,11 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
             pairs = _stars(now, ["band", "key"], [F.struct(-F.col("copies"), F.xxhash64("id", F.lit(0)), "id"), *(F.struct(F.xxhash64("id", F.lit(k)), "id") for k in (1, 2))])
         else:
             open_ = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").where(F.col("size") > LARGE).select("band", "key")
+            # Heads come from the bucket's largest class, so that only the texts outside it are tested, against several of its texts.
+            sizes = labels.groupBy("root").agg(F.count("*").alias("texts"))
             rest = F.slice("bands", F.col("band") + 2, BANDS)
-            finer = now.join(open_, ["band", "key"]).join(texts.select("id", "bands"), "id").select("id", "root", "band", "key", F.posexplode(rest).alias("further", "key2"))
-            pairs = _stars(finer, ["band", "key", "further", "key2"], [F.struct(F.xxhash64("id", F.lit(3)), "id")])
+            finer = now.join(open_, ["band", "key"]).join(sizes, "root").join(texts.select("id", "bands"), "id").select("id", "root", "texts", "band", "key", F.posexplode(rest).alias("further", "key2"))
+            pairs = _stars(finer, ["band", "key", "further", "key2"], [F.struct(-F.col("texts"), "root", F.xxhash64("id", F.lit(k)), "id") for k in range(3, 3 + FINER_HEADS)])
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         side = lambda x, *more: stock.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
