@@ -16,9 +16,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Pairs whose signatures agree on fewer components than this aren't verified: 4 deviations below 0.8.
 LEAST_AGREE = int(BANDS * ROWS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5))
-#: Buckets of more texts than this that hold several classes are also dealt by pairs of bands.
-LARGE = 4
-#: Heads of such a finer bucket.
+#: In buckets of up to this many texts all are compared with each other; larger ones go by heads.
+SMALL = 4
+#: Rounds of one head a large bucket, each over the buckets that still hold several classes.
+ROUNDS = 2
+#: Heads of a finer bucket, after those rounds.
 FINER_HEADS = 4
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -203,11 +205,25 @@ def relabelled(labels: DataFrame, fresh: DataFrame) -> DataFrame:
     return cut(labels.join(merged, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
 
 
+def _within(small: DataFrame) -> DataFrame:
+    """Pairs a < b of the texts of buckets that hold SMALL texts at most."""
+    held_ = small.groupBy("band", "key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return held_.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+
+
 def _stars(rows: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
-    """In each bucket, every text against the bucket's heads only, one for each rank: pairs a < b of texts not yet in one class."""
-    heads = rows.groupBy(*keys).agg(F.array_distinct(F.array(*(F.min_by(F.struct("id", "root"), r) for r in ranks))).alias("heads"), F.count("*").alias("n")).where("n > 1").drop("n")
-    others = F.filter("heads", lambda h: h["root"] != F.col("root"))
-    met = rows.select("id", "root", *keys).join(heads, keys).where(F.size(others) > 0).select("id", F.explode(others).alias("head"))
+    """In each bucket of several classes, every text against the bucket's heads only, one for each rank: pairs a < b of texts not yet in one class."""
+    heads = (
+        rows.groupBy(*keys).agg(F.array_distinct(F.array(*(F.min_by(F.struct("id", "root"), r) for r in ranks))).alias("heads"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        .where("lo <> hi").drop("lo", "hi")
+    )
+    joined = rows.select("id", "root", *keys).join(heads, keys)
+    if len(ranks) == 1:
+        met = joined.select("id", "root", F.col("heads")[0].alias("head")).where("root <> head.root")
+    else:
+        others = F.filter("heads", lambda h: h["root"] != F.col("root"))
+        met = joined.where(F.size(others) > 0).select("id", F.explode(others).alias("head"))
     return met.select(F.least(F.col("id"), F.col("head.id")).alias("a"), F.greatest(F.col("id"), F.col("head.id")).alias("b")).distinct()
 
 
@@ -237,11 +253,14 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     count as the id -1. Rows that repeat an id take part each with its own text. An empty table gives no
     rows. Other columns are ignored.
 
-    Buckets are never paired out: in each band's bucket every text meets the bucket's three heads, then,
-    within large buckets that still hold several classes, the heads of the buckets of pairs of bands. Either round is linear in the rows of the buckets. In a group of
-    thousands of texts that are mostly further apart than 0.8, a text with very few partners can
-    miss them all; the README has figures.
+    Large buckets are never paired out. In those of up to SMALL texts all meet; in larger ones every
+    text meets one head a round, at first the text with most copies, then one of the bucket's largest
+    class, and what is still in several classes meets the heads of the buckets of pairs of bands. Every
+    round is linear in the rows of the buckets, and no pair is compared twice. In a group of thousands
+    of texts that are mostly further apart than 0.8, a text with very few partners can miss them all;
+    the README has figures.
     """
+    release(docs.sparkSession)
     base = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text")
     rows = cut(base.select("doc_id", F.xxhash64("text").alias("text_key"), sketch(F.col("text")).alias("s")).select("doc_id", "text_key", "s.*"))
     worded = rows.where("n_words > 0")
@@ -258,31 +277,35 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
         base.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted, ["doc_id", "text_key"]).dropDuplicates(["id"]).join(texts.select("id", "sig"), "id")
         .select("id", "sig", "text")
     )
-    labels = texts.select("id", F.col("id").alias("root"))
-    tested = None
-    for turn in range(2):
-        now = shared.join(labels, "id")
+    labels = cut(wanted.select("id", F.col("id").alias("root")))
+    large, tested = shared.where(F.col("n") > SMALL), None
+    side = lambda x, *more: stock.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
+    for turn in range(ROUNDS + 1):
+        own = lambda k: F.xxhash64("id", F.lit(k))
         if not turn:
-            # The text with most copies heads a bucket, and two drawn by hash.
-            pairs = _stars(now, ["band", "key"], [F.struct(-F.col("copies"), F.xxhash64("id", F.lit(0)), "id"), *(F.struct(F.xxhash64("id", F.lit(k)), "id") for k in (1, 2))])
+            pairs = _stars(large.withColumn("root", F.col("id")), ["band", "key"], [F.struct(-F.col("copies"), own(0), "id")]).unionByName(_within(shared.where(F.col("n") <= SMALL))).distinct()
         else:
-            open_ = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").where(F.col("size") > LARGE).select("band", "key")
-            # Heads come from the bucket's largest class, so that only the texts outside it are tested, against several of its texts.
+            # Heads come from the bucket's largest class, so that only the texts outside it are tested, against several of its texts in turn.
             sizes = labels.groupBy("root").agg(F.count("*").alias("texts"))
-            rest = F.slice("bands", F.col("band") + 2, BANDS)
-            finer = now.join(open_, ["band", "key"]).join(sizes, "root").join(texts.select("id", "bands"), "id").select("id", "root", "texts", "band", "key", F.posexplode(rest).alias("further", "key2"))
-            pairs = _stars(finer, ["band", "key", "further", "key2"], [F.struct(-F.col("texts"), "root", F.xxhash64("id", F.lit(k)), "id") for k in range(3, 3 + FINER_HEADS)])
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        side = lambda x, *more: stock.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
-        near = cut(pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b").where(agreement(F.col("sig_a"), F.col("sig_b")) >= LEAST_AGREE).select("a", "b"))
-        if near.isEmpty():
+            now = large.join(labels.join(sizes, "root"), "id")
+            rank = lambda k: F.struct(-F.col("texts"), F.xxhash64("root", F.lit(k)), own(k), F.col("id"))
+            if turn < ROUNDS:
+                pairs = _stars(now, ["band", "key"], [rank(turn)])
+            else:
+                open_ = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+                rest = F.slice("bands", F.col("band") + 2, BANDS)
+                finer = now.join(open_, ["band", "key"]).join(texts.select("id", "bands"), "id").select("id", "root", "texts", "band", "key", F.posexplode(rest).alias("further", "key2"))
+                pairs = _stars(finer, ["band", "key", "further", "key2"], [rank(turn + k) for k in range(FINER_HEADS)])
+        pairs = cut(pairs)
+        if pairs.isEmpty():  # no bucket of several classes is left
             break
-        tested = near
+        untested = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        near = untested.join(side("a", "sig"), "a").join(side("b", "sig"), "b").where(agreement(F.col("sig_a"), F.col("sig_b")) >= LEAST_AGREE).select("a", "b")
         fresh = cut(near.join(side("a", "text"), "a").join(side("b", "text"), "b").where(overlap(F.col("text_a"), F.col("text_b")) >= SIMILARITY).select("a", "b"))
         labels = relabelled(labels, fresh)
         release(docs.sparkSession)
-    final = texts.select("id", "first", "copies").join(labels, "id")
+    final = texts.select("id", "first", "copies").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lead = final.groupBy("root").agg(F.min("first").alias("lead"), F.sum("copies").alias("class_size"))
     of = final.join(lead, "root").select(F.col("id").alias("bag_hash"), F.col("lead.doc_id").alias("class_id"), F.col("lead.text_key").alias("lead_key"), "class_size")
     out = ["doc_id", "text_key", "class_id", "lead_key", "class_size", "n_words"]
