@@ -76,28 +76,61 @@ class _Centers:
             f[r.c], pos[r.c], alive[r.c] = r.f, (r.cz, r.cy, r.cx), r.alive
 
     def nearest(self, image: int, at: np.ndarray, features: np.ndarray) -> np.ndarray:
+        """Each pixel's center. Pixels go by home cell; a candidate that is further from the box around a cell's pixels (in place and
+        features) than the home center is from any of them can't win, so whole cells skip it. The rest are compared pixel by pixel."""
         f, pos, alive = self.by_image[image]
         plan, n = self.plan, len(at)
-        grid, w = np.array(plan.sp_grid), np.array(plan.spacing)
+        grid, w = np.array(plan.sp_grid), np.array(plan.spacing, np.float64)
         cell = np.minimum(at // np.array(plan.sp_shape), grid - 1)
+        home = (cell[:, 0] * grid[1] + cell[:, 1]) * grid[2] + cell[:, 2]
+
+        def distances(at, features, f, pos):
+            colour = np.zeros(len(at))
+            for i in range(plan.channels):
+                colour += (features[:, i] - f[:, i]) ** 2
+            step = ((at - pos) * w) ** 2
+            return colour + (step[:, 0] + step[:, 1] + step[:, 2]) / plan.spread
+
+        order = np.argsort(home, kind="stable")
+        starts = np.flatnonzero(np.diff(home[order], prepend=-1))
+        counts = np.diff(np.append(starts, n))
+        sorted_at, sorted_f, own = at[order], features[order], home[order]
+        bound = np.where(alive[own], np.minimum(distances(sorted_at, sorted_f, f[own], pos[own]), LIMIT), LIMIT)
+        bound = np.maximum.reduceat(np.nan_to_num(bound, nan=LIMIT), starts) * (1 + 1e-9)
+        reach = [np.arange(-min(RADIUS, g - 1), min(RADIUS, g - 1) + 1) for g in plan.sp_grid]
+        offsets = np.stack(np.meshgrid(*reach, indexing="ij"), -1).reshape(-1, 3)
+        k = cell[order[starts]][:, None, :] + offsets
+        inside = ((k >= 0) & (k < grid)).all(2)
+        c = np.where(inside, (k[:, :, 0] * grid[1] + k[:, :, 1]) * grid[2] + k[:, :, 2], 0)
+
+        def gap(values, centers):
+            low, high = np.minimum.reduceat(values, starts), np.maximum.reduceat(values, starts)
+            return np.maximum(np.maximum(low[:, None] - centers, centers - high[:, None]), 0)
+
+        least = sum((gap(sorted_at[:, a], pos[c, a]) * w[a]) ** 2 for a in range(3)) / plan.spread
+        for i in range(plan.channels):
+            least += gap(sorted_f[:, i], f[c, i]) ** 2
+        keep = inside & alive[c] & ~(least > bound[:, None])
+        # Cells with most candidates first: those with a j-th candidate, and their pixels, are then a prefix.
+        many = keep.sum(1)
+        by = np.argsort(-many, kind="stable")
+        c = np.take_along_axis(c, np.argsort(~keep, axis=1, kind="stable"), 1)[by]  # those kept, ascending
+        many, counts, starts = many[by], counts[by], starts[by]
+        ends = np.cumsum(counts)
+        place = np.repeat(starts - (ends - counts), counts) + np.arange(n)
+        sorted_at, sorted_f, order = sorted_at[place], sorted_f[place], order[place]
         best, label = np.full(n, LIMIT), np.zeros(n, np.int64)
-        reach = [range(-min(RADIUS, g - 1), min(RADIUS, g - 1) + 1) for g in plan.sp_grid]
-        for dz in reach[0]:
-            for dy in reach[1]:
-                for dx in reach[2]:
-                    k = cell + (dz, dy, dx)
-                    c = (k[:, 0] * grid[1] + k[:, 1]) * grid[2] + k[:, 2]
-                    ok = np.flatnonzero(((k >= 0) & (k < grid)).all(1))
-                    ok = ok[alive[c[ok]]]
-                    c = c[ok]
-                    colour = np.zeros(len(ok))
-                    for i in range(plan.channels):
-                        colour += (features[ok, i] - f[c, i]) ** 2
-                    step = ((at[ok] - pos[c]) * w) ** 2
-                    d = colour + (step[:, 0] + step[:, 1] + step[:, 2]) / plan.spread
-                    less = d < best[ok]
-                    best[ok[less]], label[ok[less]] = d[less], c[less]
-        return label
+        for j in range(int(many.max(initial=0))):
+            cells = int(np.searchsorted(-many, -j, "left"))  # those of more than j candidates
+            m = int(ends[cells - 1])
+            one = np.repeat(c[:cells, j], counts[:cells])
+            d = distances(sorted_at[:m], sorted_f[:m], f[one], pos[one])
+            less = d < best[:m]
+            np.copyto(best[:m], d, where=less)
+            np.copyto(label[:m], one, where=less)
+        out = np.empty(n, np.int64)
+        out[order] = label
+        return out
 
 
 def _batches(batches: Iterator[pa.RecordBatch], centers: _Centers):

@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from ..plans.geometry import SlicPlan
 from .lineage import cut
 
-#: Side of the tiles whose inner components one task finds; a tile has at most 64^3 pixels.
-TILE = 64
+#: Sides of the tiles whose inner components one call finds, of flat images and of volumes.
+FLAT_TILE, TILE = 256, 32
+
+
+def tile_side(plan: SlicPlan) -> int:
+    """The side of tiles; an image of at most twice that is one tile."""
+    side = FLAT_TILE if plan.shape[0] == 1 else TILE
+    return 2 * side if max(plan.shape) <= 2 * side else side
 
 
 def _tile_components(plan: SlicPlan):
@@ -43,33 +49,61 @@ def _tile_components(plan: SlicPlan):
                 while (up := parent[parent] != parent).any():
                     parent[up] = parent[parent[up]]
         root = flat[parent].reshape(box)
-        return pd.DataFrame({"image_id": pdf["image_id"], "z": pdf["z"], "y": pdf["y"], "x": pdf["x"], "p": index[tuple(at)], "label": pdf["label"], "local": root[tuple(at)]})
+        out = {"image_id": pdf["image_id"], "z": pdf["z"], "y": pdf["y"], "x": pdf["x"], "p": index[tuple(at)], "label": pdf["label"], "local": root[tuple(at)]}
+        for axis, a in enumerate("zyx"):
+            ahead = np.full(box, -1)
+            one, two = [slice(None)] * 3, [slice(None)] * 3
+            one[axis], two[axis] = slice(None, -1), slice(1, None)
+            one, two = tuple(one), tuple(two)
+            ahead[one] = np.where(root[one] == root[two], -1, root[two])
+            out[f"next_{a}"] = ahead[tuple(at)]
+        return pd.DataFrame(out)
 
     return run
 
 
-def _neighbours(cells: DataFrame, plan: SlicPlan, of: str) -> DataFrame:
-    """Values of column `of` (and labels) on both sides of every face between two pixels."""
+def _neighbours(cells: DataFrame, plan: SlicPlan, of: str, tile: int = 1) -> DataFrame:
+    """Values of column `of` (and labels) on both sides of every face between two pixels, of different tiles only where a side is given."""
     _, ny, nx = plan.shape
-    steps = F.array(*(F.struct(F.lit(d).cast("long").alias("d"), (F.col(a) < n - 1).alias("ok")) for a, d, n in zip("zyx", (ny * nx, nx, 1), plan.shape)))
+    crosses = lambda a, n: (F.col(a) < n - 1) & (F.col(a) % tile == tile - 1)
+    steps = F.array(*(F.struct(F.lit(d).cast("long").alias("d"), crosses(a, n).alias("ok")) for a, d, n in zip("zyx", (ny * nx, nx, 1), plan.shape)))
     ahead = cells.select("image_id", F.col("label").alias("label_a"), F.col(of).alias("a"), "p", F.explode(F.filter(steps, lambda s: s["ok"])).alias("s"))
     ahead = ahead.select("image_id", "label_a", "a", (F.col("p") + F.col("s.d")).alias("p"))
-    return ahead.join(cells.select("image_id", "p", F.col("label").alias("label_b"), F.col(of).alias("b")), ["image_id", "p"]).where("a <> b").select("image_id", "a", "b", "label_a", "label_b").distinct()
+    met = cells.where(F.greatest(*(((F.col(a) % tile == 0) & (F.col(a) > 0)).cast("int") for a in "zyx")) == 1)
+    return ahead.join(met.select("image_id", "p", F.col("label").alias("label_b"), F.col(of).alias("b")), ["image_id", "p"]).where("a <> b").select("image_id", "a", "b", "label_a", "label_b").distinct()
+
+
+def _faces(cells: DataFrame, roots: DataFrame | None, plan: SlicPlan) -> DataFrame:
+    """image_id, a, b: components that touch. Inside a tile its pixels know the part ahead of them; only the rims of tiles are joined."""
+    ahead = F.filter(F.array("next_z", "next_y", "next_x"), lambda v: v >= 0)
+    inner = cells.where("next_z >= 0 or next_y >= 0 or next_x >= 0").select("image_id", F.col("comp").alias("a"), F.explode(ahead).alias("b")).distinct()
+    if roots is None:
+        return inner
+    ends = roots.select("image_id", F.col("local").alias("b"), F.col("comp").alias("root_b"))
+    inner = inner.join(ends, ["image_id", "b"], "left").select("image_id", "a", F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    return inner.union(_neighbours(cells, plan, "comp", tile_side(plan)).select("image_id", "a", "b")).distinct()
 
 
 def components(labels: DataFrame, plan: SlicPlan) -> DataFrame:
-    """image_id, z, y, x, p, label, comp: the least linear index of each pixel's component of equal label (faces touch).
+    """image_id, z, y, x, p, label, comp: the least linear index of each pixel's component of equal label (faces touch)."""
+    return tiled_components(labels, plan)[0].drop("next_z", "next_y", "next_x")
+
+
+def tiled_components(labels: DataFrame, plan: SlicPlan) -> tuple[DataFrame, DataFrame | None]:
+    """components(), with what lies ahead of each pixel: next_z, next_y and next_x are the part of the same tile there, if another than
+    the pixel's own, else -1. And the roots (image_id, local, comp) of the parts of tiles that touch an equal label in another tile, None where there is one tile.
 
     Tiles of bounded size settle their inner components; only the ties between tiles are then spread by joins.
     """
-    tile = [F.floor(F.col(a) / TILE) for a in "zyx"]
+    side = tile_side(plan)
+    tile = [F.floor(F.col(a) / side) for a in "zyx"]
     cells = cut(
         labels.select("image_id", "z", "y", "x", "label").groupBy("image_id", *(t.alias(f"t{a}") for t, a in zip(tile, "zyx")))
-        .applyInPandas(_tile_components(plan), "image_id long, z int, y int, x int, p long, label long, local long")
+        .applyInPandas(_tile_components(plan), "image_id long, z int, y int, x int, p long, label long, local long, next_z long, next_y long, next_x long")
     )
-    if all(n <= TILE for n in plan.shape):
-        return cells.withColumnRenamed("local", "comp")
-    ties = _neighbours(cells, plan, "local").where("label_a = label_b").select("image_id", "a", "b")
+    if all(n <= side for n in plan.shape):
+        return cells.withColumnRenamed("local", "comp"), None
+    ties = _neighbours(cells, plan, "local", side).where("label_a = label_b").select("image_id", "a", "b")
     both = cut(ties.union(ties.select("image_id", F.col("b"), F.col("a"))).distinct())
     roots = cut(both.groupBy("image_id", F.col("a").alias("local")).agg(F.min("b").alias("m")).select("image_id", "local", F.least("local", "m").alias("comp")))
     while True:
@@ -80,7 +114,7 @@ def components(labels: DataFrame, plan: SlicPlan) -> DataFrame:
         roots = new.select("image_id", "local", "comp")
         if new.where("comp <> was").isEmpty():
             break
-    return cells.join(roots, ["image_id", "local"], "left").select("image_id", "z", "y", "x", "p", "label", F.coalesce("comp", "local").alias("comp"))
+    return cells.join(roots, ["image_id", "local"], "left").select("image_id", "z", "y", "x", "p", "label", F.coalesce("comp", "local").alias("comp"), "next_z", "next_y", "next_x"), roots
 
 
 def split_large(cells: DataFrame, plan: SlicPlan) -> DataFrame:
@@ -150,9 +184,10 @@ def enforce(labels: DataFrame, plan: SlicPlan) -> DataFrame:
     before any of their neighbours wait until the others are numbered. The order is sequential, so
     one task walks an image's graph of components, which has no pixels in it.
     """
-    cells = split_large(components(labels, plan), plan)
+    whole, roots = tiled_components(labels, plan)
+    cells = split_large(whole, plan)
     if plan.min_size > 0:
-        faces = _neighbours(cells, plan, "comp")
+        faces = _faces(cells, roots, plan) if cells is whole else _neighbours(cells, plan, "comp")
         pairs = faces.select("image_id", F.col("a").alias("comp"), "b").union(faces.select("image_id", F.col("b"), F.col("a"))).groupBy("image_id", "comp").agg(F.array_sort(F.collect_set("b")).alias("near"))
         sizes = cells.groupBy("image_id", "comp").agg(F.count("*").alias("size"))
         graph = sizes.join(pairs, ["image_id", "comp"], "left").select("image_id", "comp", "size", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))

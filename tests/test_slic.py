@@ -145,9 +145,44 @@ def test_components_across_tiles(spark, monkeypatch):
     from tessella.operators import connectivity
 
     monkeypatch.setattr(connectivity, "TILE", 3)
+    monkeypatch.setattr(connectivity, "FLAT_TILE", 3)
     image = np.array([[1, 1, 1, 1, 1, 1, 1], [1, 2, 2, 2, 2, 2, 1], [1, 2, 1, 1, 1, 2, 1], [1, 2, 2, 2, 2, 2, 1], [1, 1, 1, 1, 1, 1, 1]])
     pixels = from_array(spark, image).selectExpr("image_id", "z", "y", "x", "cast(features[0] as long) as label")
     got = to_array(enforce(pixels, plan(image.shape, 35, max_size_factor=100.0)), (1, *image.shape), True)
     ring, core = image == 2, np.zeros_like(image, bool)
     core[2, 2:5] = True
     assert got.tolist() == np.where(ring, 1, np.where(core, 2, 0)).tolist()
+
+
+def test_tiles_merge_like_one_tile(spark, monkeypatch):
+    from tessella.operators import connectivity
+
+    image = np.random.default_rng(5).integers(1, 4, (7, 6, 9))
+    pixels = from_array(spark, image[..., None]).selectExpr("image_id", "z", "y", "x", "cast(features[0] as long) as label").cache()
+    p = plan(image.shape, 60, multichannel=False)
+    whole, tiled = [], []
+    for side, into in ((16, whole), (2, tiled)):
+        monkeypatch.setattr(connectivity, "TILE", side)
+        into += enforce(pixels, p).orderBy("z", "y", "x").collect()
+    assert p.min_size > 1 and whole == tiled
+
+
+def test_nearest_skips_no_winner():
+    from pyspark.sql import Row
+    from tessella.operators.assign import LIMIT, _Centers
+
+    p, rng = plan((9, 10, 11), 40, 0.3, (1, 2, 0.5), multichannel=False), np.random.default_rng(7)
+    rows = [Row(image_id=0, c=c, f=[float(rng.normal())], cz=float(z), cy=float(y), cx=float(x), alive=bool(rng.random() < 0.8)) for c, (z, y, x) in enumerate(rng.integers(0, 11, (p.n_centers, 3)))]
+    at = np.stack(np.meshgrid(*map(np.arange, (9, 10, 11)), indexing="ij"), -1).reshape(-1, 3)
+    features = np.where(rng.random((len(at), 1)) < 0.01, np.nan, rng.normal(size=(len(at), 1)).round(1))
+    got = _Centers(rows, p).nearest(0, at, features)
+    for q, v, label in zip(at, features, got):
+        home = np.minimum(q // np.array(p.sp_shape), np.array(p.sp_grid) - 1)
+        best, want = LIMIT, 0
+        for r in rows:
+            cell = np.array(np.unravel_index(r.c, p.sp_grid))
+            if r.alive and (abs(cell - home) <= 2).all():
+                d = (v[0] - r.f[0]) ** 2 + sum(((a - b) * w) ** 2 for a, b, w in zip(q, (r.cz, r.cy, r.cx), p.spacing)) / p.spread
+                if d < best:
+                    best, want = d, r.c
+        assert label == want
