@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ALNUM, WordIndex, cut, held, lowered, release, slices, split_words
@@ -22,6 +22,8 @@ SMALL = 4
 ROUNDS = 2
 #: Heads of a finer bucket, after those rounds.
 FINER_HEADS = 4
+#: How strongly heads after the first prefer texts that share large buckets.
+CENTRAL_POWER = 4
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -269,8 +271,9 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
         worded.groupBy(F.col("bag_hash").alias("id"))
         .agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.min_by("bands", first).alias("bands"), F.min_by("sig", first).alias("sig"))
     )
-    placed = texts.select("id", "copies", F.posexplode("bands").alias("band", "key"))
-    shared = cut(placed.join(placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"]))
+    placed = texts.select("id", F.posexplode("bands").alias("band", "key"))
+    shared = placed.join(placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"])
+    shared = cut(shared.withColumn("central", F.sum("n").over(Window.partitionBy("id"))))
     # The texts that share a bucket with another, fetched once for all rounds.
     wanted = shared.select("id").distinct().join(texts.select("id", "first.*"), "id")
     stock = cut(
@@ -282,19 +285,20 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     side = lambda x, *more: stock.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
     for turn in range(ROUNDS + 1):
         own = lambda k: F.xxhash64("id", F.lit(k))
+        drawn = lambda k: -F.log(F.greatest(own(k) / F.lit(2.0**64) + 0.5, F.lit(2.0**-64))) / F.pow("central", F.lit(CENTRAL_POWER))
         if not turn:
-            pairs = _stars(large.withColumn("root", F.col("id")), ["band", "key"], [F.struct(-F.col("copies"), own(0), "id")]).unionByName(_within(shared.where(F.col("n") <= SMALL))).distinct()
+            pairs = _stars(large.withColumn("root", F.col("id")), ["band", "key"], [F.struct(-F.col("central"), own(0), F.col("id"))]).unionByName(_within(shared.where(F.col("n") <= SMALL))).distinct()
         else:
             # Heads come from the bucket's largest class, so that only the texts outside it are tested, against several of its texts in turn.
             sizes = labels.groupBy("root").agg(F.count("*").alias("texts"))
             now = large.join(labels.join(sizes, "root"), "id")
-            rank = lambda k: F.struct(-F.col("texts"), F.xxhash64("root", F.lit(k)), own(k), F.col("id"))
+            rank = lambda k: F.struct(-F.col("texts"), F.xxhash64("root", F.lit(k)), drawn(k), F.col("id"))
             if turn < ROUNDS:
                 pairs = _stars(now, ["band", "key"], [rank(turn)])
             else:
                 open_ = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
                 rest = F.slice("bands", F.col("band") + 2, BANDS)
-                finer = now.join(open_, ["band", "key"]).join(texts.select("id", "bands"), "id").select("id", "root", "texts", "band", "key", F.posexplode(rest).alias("further", "key2"))
+                finer = now.join(open_, ["band", "key"]).join(texts.select("id", "bands"), "id").select("id", "root", "texts", "central", "band", "key", F.posexplode(rest).alias("further", "key2"))
                 pairs = _stars(finer, ["band", "key", "further", "key2"], [rank(turn + k) for k in range(FINER_HEADS)])
         pairs = cut(pairs)
         if pairs.isEmpty():  # no bucket of several classes is left
