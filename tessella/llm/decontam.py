@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WINDOW = 10
 #: Largest block of benchmark text, in bytes, whose index goes to every worker; more items make more blocks.
 BLOCK_BYTES = 32 << 20
@@ -145,22 +147,22 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """doc_id, n_words, places (sorted positions of hit words), items (sorted, distinct) of every whole text.
 
     A window is `window` consecutive words of an item, or all words of a shorter one; items without words
-    or id are left out, null texts have no words. Rows of one id and text are the same document to the
-    merge of several blocks and come out once there; otherwise every row comes out. Other columns
+    or id are left out, null texts have no words. Every row comes out, also those that repeat or have no
+    id: several blocks are merged by numbers that the rows are given. Other columns
     are ignored. The benchmark is the stated query set: its index goes to the workers by blocks of
     bounded size, and each block meets all documents.
     """
-    found = [
-        docs.select("doc_id", "text", _hits(F.col("text"), i, docs.sparkSession).alias("h")).select("doc_id", F.xxhash64("text").alias("text_hash"), "h.*")
-        for i in indexes(docs, benchmark, window, block_bytes)
-    ]
-    if len(found) == 1:
-        return found[0].drop("text_hash")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))  # noqa: E731  a row a block
-    return every.groupBy("doc_id", "text_hash").agg(F.first("n_words").alias("n_words"), merged("places").alias("places"), merged("items").alias("items")).drop("text_hash")
+    every = list(indexes(docs, benchmark, window, block_bytes))
+    hits = lambda rows, i: rows.withColumn("h", _hits(F.col("text"), i, docs.sparkSession)).drop("text").select("*", "h.*").drop("h")
+    rows = docs.select("doc_id", "text")
+    if len(every) == 1:
+        return hits(rows, every[0])
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # fixed once written
+    found = hits(rows, every[0])
+    for index in every[1:]:
+        found = found.unionByName(hits(rows, index))
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  a row a block
+    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), merged("places").alias("places"), merged("items").alias("items")).drop("row")
 
 
 def report(found: DataFrame) -> DataFrame:
