@@ -176,14 +176,14 @@ def calibrate(model: Model, samples: list[tuple[str, bytes]]) -> Model:
 def judge(model: Model, h: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best language's index, its score, and whether it is rejected.
 
-    Rejected are texts without letters, and those whose entropy is both 8 calibrated deviations above the
-    language's own texts and above that of guessing every character of the alphabet alike.
+    Rejected are texts without letters, and those whose entropy is 8 calibrated deviations above the
+    language's own texts; the deviation grows as texts get shorter.
     """
     best = h.argmin(1)
     z = -(h - h.min(1, keepdims=True)) * np.minimum(chars, 200)[:, None] * model.heat
     score = np.where(chars > 0, 1 / np.exp(z).sum(1), 0.0)
     limit = model.mean[best] + 8 * np.sqrt(model.spread[best] ** 2 + model.noise[best] ** 2 / np.maximum(chars, 1))
-    return best, score, (chars == 0) | (h.min(1) > np.maximum(limit, -np.log(model.floor)))
+    return best, score, (chars == 0) | (h.min(1) > limit)
 
 
 def sample(labelled: DataFrame, docs_a_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, list[bytes]]:
