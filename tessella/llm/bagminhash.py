@@ -20,8 +20,12 @@ LEAST_AGREE = int(BANDS * ROWS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY
 SMALL = 4
 #: Rounds of one head a large bucket, each over the buckets that still hold several classes.
 ROUNDS = 2
-#: Heads of a finer bucket, after those rounds.
-FINER_HEADS = 4
+#: Texts and bytes of text in a block of the exact comparison that settles what is open after those rounds.
+BLOCK_TEXTS, BLOCK_BYTES = 512, 2 << 20
+#: Open buckets that hang together and have up to this many texts are compared as one, larger ones bucket by bucket.
+CHAINED = 8192
+#: Shingles that are looked at together.
+STRIP = 4096
 #: How strongly heads after the first prefer texts that share large buckets.
 CENTRAL_POWER = 4
 
@@ -214,21 +218,99 @@ def _within(small: DataFrame) -> DataFrame:
     return held_.select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
 
-def _stars(rows: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
-    """In each bucket of several classes, every text against the bucket's heads only, one for each rank: pairs a < b of texts not yet in one class."""
+def _stars(rows: DataFrame, keys: list[str], rank: Column) -> DataFrame:
+    """In each bucket of several classes, every text against the bucket's head only: pairs a < b of texts not yet in one class."""
     heads = (
-        rows.groupBy(*keys).agg(F.array_distinct(F.array(*(F.min_by(F.struct("id", "root"), r) for r in ranks))).alias("heads"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        rows.groupBy(*keys).agg(F.min_by(F.struct("id", "root"), rank).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         .where("lo <> hi").drop("lo", "hi")
     )
-    joined = rows.select("id", "root", *keys).join(heads, keys)
-    if len(ranks) == 1:
-        met = joined.select("id", "root", F.col("heads")[0].alias("head")).where("root <> head.root")
-    else:
-        others = F.filter("heads", lambda h: h["root"] != F.col("root"))
-        met = joined.where(F.size(others) > 0).select("id", F.explode(others).alias("head"))
+    met = rows.select("id", "root", *keys).join(heads, keys).where("root <> head.root")
     return met.select(F.least(F.col("id"), F.col("head.id")).alias("a"), F.greatest(F.col("id"), F.col("head.id")).alias("b")).distinct()
 
 
+def _linked(rows: pa.Table) -> pa.Table:
+    """Links a < b between two blocks of texts, or within one: of all pairs of SIMILARITY or more, those that tie classes not yet tied by another.
+
+    A bag is the set of its (shingle, number of the copy), so common shingles are a product of matrices.
+    """
+    ids, roots, own = (rows[c].to_numpy() for c in ("id", "root", "own"))
+    left, right = np.flatnonzero(own == rows["i"][0].as_py()), np.flatnonzero(own == rows["j"][0].as_py())
+    apart = rows["i"][0].as_py() != rows["j"][0].as_py()
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not len(left) or not len(right) or (roots == roots[0]).all():
+        return none
+    at, parts = 0, []
+    for part in slices(rows["text"].combine_chunks()):
+        doc, shingle, weight, _ = text_bags(part)
+        parts.append((doc + at, shingle, weight))
+        at += len(part)
+    doc, shingle, weight = (np.concatenate(x) for x in zip(*parts))
+    copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    doc, shingle = np.repeat(doc, weight), np.repeat(shingle, weight)
+    shingle = np.where(copy > 0, mix(shingle ^ mix(copy.astype(np.uint64))), shingle)
+    total = np.bincount(doc, minlength=len(ids))
+    name, shingle = np.unique(shingle, return_inverse=True)
+    in_left, in_right = (np.bincount(shingle[own[doc] == own[side[0]]], minlength=len(name)) for side in (left, right))
+    shared = (in_left > 0) & (in_right > 0) if apart else in_left > 1
+    use = shared[shingle]
+    doc, shingle = doc[use], (np.cumsum(shared) - 1)[shingle[use]]
+    order = np.argsort(shingle, kind="stable")
+    doc, shingle = doc[order], shingle[order]
+    place = np.zeros(len(ids), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)  # whole numbers, exact up to 2^24
+    for low in range(0, int(shared.sum()), STRIP):
+        ends = np.searchsorted(shingle, [low, low + STRIP])
+        d, k = doc[ends[0] : ends[1]], shingle[ends[0] : ends[1]] - low
+        x, y = np.zeros((len(left), STRIP), np.float32), np.zeros((len(right), STRIP), np.float32)
+        for m, side in ((x, left), (y, right)):
+            mine = own[d] == own[side[0]]
+            m[place[d[mine]], k[mine]] = 1
+        common += x @ y.T
+    common = common.astype(np.float64)
+    near = common / np.maximum(total[left][:, None] + total[right][None, :] - common, 1) >= SIMILARITY
+    near &= roots[left][:, None] != roots[right][None, :]
+    one, two = np.nonzero(near if apart else np.triu(near, 1))
+    one, two = left[one], right[two]
+    parent: dict[int, int] = {}
+
+    def root(r: int) -> int:
+        while (up := parent.get(r, r)) != r:
+            parent[r] = parent.get(up, up)
+            r = up
+        return r
+
+    kept = []
+    for n, (r, t) in enumerate(zip(roots[one].tolist(), roots[two].tolist())):
+        r, t = root(r), root(t)
+        if r != t:
+            parent[max(r, t)] = min(r, t)
+            kept.append(n)
+    x, y = ids[one[kept]], ids[two[kept]]
+    return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+
+def _settled(rows: DataFrame, stock: DataFrame) -> DataFrame | None:
+    """Links between the classes of every bucket in `rows` that holds several: all its texts against all, block by block.
+
+    Rows grow with a bucket's texts times its blocks, not its pairs; a block pair returns a link a class at most.
+    """
+    several = rows.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").drop("hi")
+    open_ = cut(rows.select("id", "root", "band", "key").join(several, ["band", "key"]))
+    if open_.isEmpty():
+        return None
+    chain = components(open_.where("root <> lo").select(F.col("root").alias("a"), F.col("lo").alias("b")).distinct()).select(F.col("id").alias("root"), F.col("root").alias("chain"))
+    chained = open_.select("id", "root").distinct().join(chain, "root").groupBy("chain").agg(F.count("*").alias("n"))
+    unit = F.when(F.col("n") <= CHAINED, F.xxhash64("chain")).otherwise(F.xxhash64("band", "key"))
+    member = open_.join(chain.join(chained, "chain"), "root").select(unit.alias("unit"), "id", "root").distinct()
+    member = cut(member.join(stock.select("id", F.octet_length("text").alias("bytes")), "id"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = member.join(member.groupBy("unit").agg(blocks.alias("g")), "unit").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), "g").cast("int"))
+    dealt = dealt.select("unit", "id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    dealt = dealt.select("unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", "own")
+    return cut(dealt.join(stock.select("id", "text"), "id").groupBy("unit", "i", "j").applyInArrow(_linked, "a long, b long").distinct())
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, n_words for every row; see keyed_classes()."""
     return keyed_classes(docs).select("doc_id", "class_id", "class_size", "n_words")
@@ -255,12 +337,11 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     count as the id -1. Rows that repeat an id take part each with its own text. An empty table gives no
     rows. Other columns are ignored.
 
-    Large buckets are never paired out. In those of up to SMALL texts all meet; in larger ones every
-    text meets one head a round, at first the text with most copies, then one of the bucket's largest
-    class, and what is still in several classes meets the heads of the buckets of pairs of bands. Every
-    round is linear in the rows of the buckets, and no pair is compared twice. In a group of thousands
-    of texts that are mostly further apart than 0.8, a text with very few partners can miss them all;
-    the README has figures.
+    In buckets of up to SMALL texts all meet. In larger ones every text meets one head a round, at first
+    the most central text, then one of the bucket's largest class, which is linear and makes most links.
+    Large buckets that still hold several classes are then settled exactly: all their texts against all,
+    in blocks. That is quadratic in a group of texts that share buckets but mostly no link, in arithmetic
+    and, divided by BLOCK_TEXTS, in rows.
     """
     release(docs.sparkSession)
     base = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text")
@@ -283,23 +364,17 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     labels = cut(wanted.select("id", F.col("id").alias("root")))
     large, tested = shared.where(F.col("n") > SMALL), None
     side = lambda x, *more: stock.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS):
         own = lambda k: F.xxhash64("id", F.lit(k))
         drawn = lambda k: -F.log(F.greatest(own(k) / F.lit(2.0**64) + 0.5, F.lit(2.0**-64))) / F.pow("central", F.lit(CENTRAL_POWER))
         if not turn:
-            pairs = _stars(large.withColumn("root", F.col("id")), ["band", "key"], [F.struct(-F.col("central"), own(0), F.col("id"))]).unionByName(_within(shared.where(F.col("n") <= SMALL))).distinct()
+            rank = F.struct(-F.col("central"), own(0), F.col("id"))
+            pairs = _stars(large.withColumn("root", F.col("id")), ["band", "key"], rank).unionByName(_within(shared.where(F.col("n") <= SMALL))).distinct()
         else:
-            # Heads come from the bucket's largest class, so that only the texts outside it are tested, against several of its texts in turn.
+            # Heads come from the bucket's largest class, so that only the texts outside it are tested.
             sizes = labels.groupBy("root").agg(F.count("*").alias("texts"))
             now = large.join(labels.join(sizes, "root"), "id")
-            rank = lambda k: F.struct(-F.col("texts"), F.xxhash64("root", F.lit(k)), drawn(k), F.col("id"))
-            if turn < ROUNDS:
-                pairs = _stars(now, ["band", "key"], [rank(turn)])
-            else:
-                open_ = now.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-                rest = F.slice("bands", F.col("band") + 2, BANDS)
-                finer = now.join(open_, ["band", "key"]).join(texts.select("id", "bands"), "id").select("id", "root", "texts", "central", "band", "key", F.posexplode(rest).alias("further", "key2"))
-                pairs = _stars(finer, ["band", "key", "further", "key2"], [rank(turn + k) for k in range(FINER_HEADS)])
+            pairs = _stars(now, ["band", "key"], F.struct(-F.col("texts"), F.xxhash64("root", F.lit(turn)), drawn(turn), F.col("id")))
         pairs = cut(pairs)
         if pairs.isEmpty():  # no bucket of several classes is left
             break
@@ -309,6 +384,11 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
         fresh = cut(near.join(side("a", "text"), "a").join(side("b", "text"), "b").where(overlap(F.col("text_a"), F.col("text_b")) >= SIMILARITY).select("a", "b"))
         labels = relabelled(labels, fresh)
         release(docs.sparkSession)
+    else:
+        fresh = _settled(large.join(labels, "id"), stock)
+        if fresh is not None:
+            labels = relabelled(labels, fresh)
+        release(docs.sparkSession)
     final = texts.select("id", "first", "copies").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lead = final.groupBy("root").agg(F.min("first").alias("lead"), F.sum("copies").alias("class_size"))
     of = final.join(lead, "root").select(F.col("id").alias("bag_hash"), F.col("lead.doc_id").alias("class_id"), F.col("lead.text_key").alias("lead_key"), "class_size")

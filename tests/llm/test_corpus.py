@@ -167,6 +167,38 @@ def test_near_duplicate_classes_equal_brute_force(spark, real):
     assert bagminhash.classes(df.limit(0)).count() == 0
 
 
+def test_partners_among_near_templates_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "BLOCK_TEXTS", 64)
+    r = random.Random(9)
+    template = [f"t{i}" for i in range(200)]
+    texts = []
+    for i in range(200):  # mostly 0.735 apart from each other, each with a partner at about 0.82
+        w = list(template)
+        for p in r.sample(range(5, 195, 6), 3):
+            w[p] = f"a{i}x{p}"
+        texts.append(" ".join(w))
+        for p in r.sample(range(5, 195, 6), 4):
+            w[p] = f"b{i}x{p}"
+        texts.append(" ".join(w))
+    bags = [set(bag(t)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(bags)):
+        for b in range(a):
+            both = len(bags[a] & bags[b])
+            if both >= 0.8 * (len(bags[a]) + len(bags[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    got = bagminhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({root(k) for k in range(len(texts))}) > 100
+    assert {r.doc_id: r.class_id for r in got} == {k: root(k) for k in range(len(texts))}
+
+
 def test_bagminhash_is_unbiased():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     wa, wb = np.array([1, 5, 2, 40, 3]), np.array([3, 5, 1, 25, 0])
