@@ -9,15 +9,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WordIndex, doc_sums, held, lowered, slices, split_words
+from .common import ALNUM, WordIndex, cut, doc_sums, held, lowered, slices, split_words
 
 CLASSES, MEMBERS = 32, 32
-#: Tokens: the most frequent words of the corpus, then buckets that share all other words by hash.
+#: Tokens: the most frequent words of the corpus, then buckets of all other words by hash; each of these has its share of its bucket's count.
 BUCKETS = 64
 FREQUENT = CLASSES * MEMBERS - BUCKETS
+#: So many of the most frequent words have their counts in every worker; the counts of all others are joined.
+KNOWN = 50_000
+#: Logarithms of counts add up as whole numbers of this part, so that the order of sums doesn't matter.
+PART = 1 << 20
 SPAN = (-2, -1, 1, 2)
 DIM = 16
 STEP, RATE = 8192, 0.05
@@ -107,20 +112,47 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return np.maximum(x, 1e-12)
 
 
+@dataclass
+class Words:
+    """What workers know of words: the frequent ones, the log of each bucket's count, name (hash) and log of count of the KNOWN ones."""
+
+    frequent: list[bytes]
+    buckets: np.ndarray
+    names: np.ndarray
+    logs: np.ndarray
+
+
 class Tokens:
-    """Numbers of words: frequent ones have their own, the rest share buckets."""
+    """Numbers of words: frequent ones have their own, the rest share buckets.
 
-    def __init__(self, frequent: list[bytes]):
-        self.own = {w: i for i, w in enumerate(frequent)}
-        self.index, self.numbers = WordIndex(), np.zeros(0, np.int64)
+    `shares` has the log of a word's share of its bucket; where the word's count isn't known, `names` has
+    its name and the log of the count is still to be added.
+    """
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def __init__(self, words: Words):
+        self.words, self.own = words, {w: i for i, w in enumerate(words.frequent)}
+        self.index, self.numbers, self.shares, self.names = WordIndex(), *(np.zeros(0, np.int64) for _ in range(3))
+
+    def at(self, words: list[bytes]) -> np.ndarray:
         if (kept := self.index.shrunk()) is not None:
-            self.numbers = self.numbers[kept]
+            self.numbers, self.shares, self.names = self.numbers[kept], self.shares[kept], self.names[kept]
         at = self.index.numbers(words)
         if self.index.new:
-            new = np.fromiter((self.own.get(w, FREQUENT + zlib.crc32(w) % BUCKETS) for w in self.index.new), np.int64, len(self.index.new))
-            self.numbers, self.index.new = np.concatenate([self.numbers, new]), []
+            known, size = self.words, len(self.index.new)
+            new = np.fromiter((self.own.get(w, FREQUENT + zlib.crc32(w) % BUCKETS) for w in self.index.new), np.int64, size)
+            name = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.index.new), np.uint64, size).view(np.int64)
+            rare = np.fromiter((w not in self.own for w in self.index.new), bool, size)
+            share = np.where(rare, -known.buckets[np.maximum(new - FREQUENT, 0)], 0)
+            place = np.minimum(np.searchsorted(known.names, name), len(known.names) - 1)
+            found = known.names[place] == name
+            share += np.where(rare & found, known.logs[place], 0)
+            for field, values in (("numbers", new), ("shares", share), ("names", np.where(rare & ~found, name, 0))):
+                setattr(self, field, np.concatenate([getattr(self, field), values]))
+            self.index.new = []
+        return at
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        at = self.at(words)
         return self.numbers[at]
 
 
@@ -137,8 +169,11 @@ def neighbours(tokens: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of all documents; ties go to the lesser word. Each task adds its words up first."""
+def vocabulary(docs: DataFrame) -> tuple[Words, DataFrame]:
+    """What workers know of words, and (name, log of count) of every word of all documents. Each task adds its words up first.
+
+    The most frequent words come first; ties go to the lesser word.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -153,17 +188,27 @@ def vocabulary(docs: DataFrame) -> list[bytes]:
                 total.clear()
         yield rows()
 
-    counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-
-
-def fit(docs: DataFrame, frequent: list[bytes]) -> Network:
+    counted = cut(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    top = counted.orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "n").toArrow()
+    words, n = [bytes(w) for w in top["word"].to_pylist()], np.array(top["n"].to_pylist(), np.int64)
+    buckets = np.zeros(BUCKETS, np.int64)
+    for r in counted.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        buckets[r.bucket] = r.n
+    frequent = words[:FREQUENT]
+    np.subtract.at(buckets, np.array([zlib.crc32(w) % BUCKETS for w in frequent], np.int64), n[:FREQUENT])
+    names = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
+    order = np.argsort(names)
+    part = lambda x: np.round(np.log(np.maximum(x, 1)) * PART).astype(np.int64)
+    return Words(frequent, part(buckets), names[order], part(n)[order]), counted.select(F.xxhash64("word").alias("name"), F.round(F.log("n") * PART).cast("long").alias("log"))
+
+
+def fit(docs: DataFrame, known: Words) -> Network:
     """Trains on every token of every document: each task runs once over its own, from the same start; the networks' mean by tokens is taken.
 
     What the tasks give is added up by Spark, value by value, so only one network comes to the driver.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+    shared = spark.sparkContext.broadcast(known)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, tokens, seen = Network.fresh(), Tokens(shared.value), 0
@@ -198,20 +243,34 @@ def fit(docs: DataFrame, frequent: list[bytes]) -> Network:
     return Network.from_flat(np.round(flat, 6))
 
 
-def log_likelihood(text: Column, net: Network, frequent: list[bytes], spark) -> Column:
-    """struct<n_tokens, pll>: the number of words of a whole text, and the sum of log p of each given its neighbours."""
-    shared = spark.sparkContext.broadcast((net, frequent))  # of fixed size
+def log_likelihood(text: Column, net: Network, known: Words, spark) -> Column:
+    """struct<n_tokens, pll, names, times>: the number of words of a whole text, and the sum of log p of each given its neighbours.
+
+    For words in `names`, which occur `times` times, the logs of their counts are still to be added.
+    """
+    shared = spark.sparkContext.broadcast((net, known))  # of fixed size
 
-    @F.arrow_udf("n_tokens long, pll double")
+    @F.arrow_udf("n_tokens long, pll double, names array<long>, times array<long>")
     def of(texts: pa.Array) -> pa.Array:
-        net, frequent = shared.value
-        tokens, out = held("pseudolm", frequent, Tokens), []
+        net, known = shared.value
+        tokens, out = held("pseudolm", known, Tokens), []
         for part in slices(texts):
             words, counts = split_words(lowered(part), ALNUM)
-            ids = tokens.of(words)
+            at = tokens.at(words)
+            ids = tokens.numbers[at]
             around = neighbours(ids, counts)
             log_p = np.concatenate([net.forward([a[i : i + STEP] for a in around], ids[i : i + STEP]) for i in range(0, len(ids), STEP)] or [np.zeros(0, np.float32)])
-            out.append(pa.StructArray.from_arrays([pa.array(counts), pa.array(doc_sums(log_p.astype(np.float64), counts))], ["n_tokens", "pll"]))
+            pll = doc_sums(log_p.astype(np.float64), counts) + doc_sums(tokens.shares[at], counts) / PART
+            name, doc = tokens.names[at], np.repeat(np.arange(len(counts)), counts)
+            name, doc = name[name != 0], doc[name != 0]
+            order = np.lexsort((name, doc))
+            name, doc = name[order], doc[order]
+            new = np.ones(len(name), bool)
+            new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            ends = pa.array(np.searchsorted(doc[first], np.arange(len(counts) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (name[first], np.diff(np.append(first, len(name))))]
+            out.append(pa.StructArray.from_arrays([pa.array(counts), pa.array(pll), *lists], ["n_tokens", "pll", "names", "times"]))
         return pa.concat_arrays(out)
 
     return of(text)
@@ -220,11 +279,17 @@ def log_likelihood(text: Column, net: Network, frequent: list[bytes], spark) ->
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, pll, mean_pll of every row, under a network trained on all of `docs`.
 
-    Words (lower case) are runs of ASCII letters and digits and of everything beyond ASCII. Null, empty and
+    Words (lower case) are runs of ASCII letters and digits and of everything beyond ASCII. A word beyond the
+    network's own has its bucket's probability times its share of the bucket's count in all of `docs`; these
+    counts grow with the corpus and are joined, but for the most frequent. Null, empty and
     wordless texts have 0 tokens, pll 0.0 and a null mean. Equal texts score alike; rows that repeat count
     in training each. An empty table gives no rows. Other columns are ignored.
     """
-    frequent = vocabulary(docs)
-    net = fit(docs, frequent)
-    scored = docs.select("doc_id", log_likelihood(F.col("text"), net, frequent, docs.sparkSession).alias("s")).select("doc_id", "s.*")
+    known, logs = vocabulary(docs)
+    net = fit(docs, known)
+    rows = docs.select("doc_id", log_likelihood(F.col("text"), net, known, docs.sparkSession).alias("s")).select("doc_id", "s.*")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # fixed once written
+    rare = rows.select("row", F.explode(F.arrays_zip("names", "times")).alias("w")).select("row", F.col("w.names").alias("name"), F.col("w.times").alias("times"))
+    added = rare.join(logs, "name").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("added"))
+    scored = rows.join(added, "row", "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("added", F.lit(0)) / PART).alias("pll"))
     return scored.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
