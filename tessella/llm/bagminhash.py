@@ -317,13 +317,16 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, that lead their class: the least doc_id, then the least text hash.
+    """The rows of `docs`, with all their columns, that lead their class: the least doc_id (null last), then the least text hash.
 
-    Of rows that repeat an id and a text one stays; rows without words all stay, once for each id and text.
+    Of rows that repeat an id and a text the one of the least hash over all columns stays; rows without words all
+    stay, once for each id and text. Whole rows travel in one struct, so no name can clash.
     """
-    lead = keyed_classes(docs).where("doc_id = class_id and text_key = lead_key").select(F.col("doc_id").alias("own_doc_id"), F.col("text_key").alias("own_text_key")).distinct()
-    marked = docs.withColumns({"own_doc_id": F.coalesce("doc_id", F.lit(-1)).cast("long"), "own_text_key": F.xxhash64("text")})
-    return marked.join(lead, ["own_doc_id", "own_text_key"], "left_semi").dropDuplicates(["own_doc_id", "own_text_key"]).select(*docs.columns)
+    lead = keyed_classes(docs).where("doc_id <=> class_id and text_key = lead_key").select(F.struct("doc_id", "text_key").alias("lead")).distinct()
+    whole = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key")).alias("own"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    same = F.col("own.doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("own.text_key") == F.col("lead.text_key"))
+    led = whole.join(lead, same, "left_semi")
+    return led.groupBy("own").agg(F.min_by("whole", F.xxhash64(F.to_json("whole"))).alias("whole")).select("whole.*")
 
 
 def keyed_classes(docs: DataFrame) -> DataFrame:
@@ -334,8 +337,9 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     connected set of links; class_id is the least doc_id in it, class_size its number of rows. Texts with
     equal multisets are one text from the start. Texts without words (null, empty, only signs) are in no
     class: class_id is their own doc_id and class_size 1. A text of 1 to 4 words has one shingle. Null ids
-    count as the id -1. Rows that repeat an id take part each with its own text. An empty table gives no
-    rows. Other columns are ignored.
+    stay null and come after all others, so only a class of null ids has a null class_id. Rows that repeat
+    an id take part each with its own text. An empty table gives no rows. Other columns are ignored.
+    Multisets are told apart by 64-bit hashes: two of n differ and agree in it with a chance of n^2 / 2^65.
 
     In buckets of up to SMALL texts all meet. In larger ones every text meets one head a round, at first
     the most central text, then one of the bucket's largest class, which is linear and makes most links.
@@ -344,10 +348,10 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     and, divided by BLOCK_TEXTS, in rows.
     """
     release(docs.sparkSession)
-    base = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(base.select("doc_id", F.xxhash64("text").alias("text_key"), sketch(F.col("text")).alias("s")).select("doc_id", "text_key", "s.*"))
     worded = rows.where("n_words > 0")
-    first = F.struct("doc_id", "text_key")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     texts = cut(
         worded.groupBy(F.col("bag_hash").alias("id"))
         .agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.min_by("bands", first).alias("bands"), F.min_by("sig", first).alias("sig"))
@@ -356,11 +360,9 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     shared = placed.join(placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"])
     shared = cut(shared.withColumn("central", F.sum("n").over(Window.partitionBy("id"))))
     # The texts that share a bucket with another, fetched once for all rounds.
-    wanted = shared.select("id").distinct().join(texts.select("id", "first.*"), "id")
-    stock = cut(
-        base.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(wanted, ["doc_id", "text_key"]).dropDuplicates(["id"]).join(texts.select("id", "sig"), "id")
-        .select("id", "sig", "text")
-    )
+    wanted = shared.select("id").distinct().join(texts.select("id", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), "sig"), "id")
+    found = base.withColumn("text_key", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")))
+    stock = cut(found.select("id", "sig", "text").dropDuplicates(["id"]))
     labels = cut(wanted.select("id", F.col("id").alias("root")))
     large, tested = shared.where(F.col("n") > SMALL), None
     side = lambda x, *more: stock.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
@@ -390,7 +392,8 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
             labels = relabelled(labels, fresh)
         release(docs.sparkSession)
     final = texts.select("id", "first", "copies").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    lead = final.groupBy("root").agg(F.min("first").alias("lead"), F.sum("copies").alias("class_size"))
+    # Written, so that a class of many texts is split when it meets its lead, not kept whole in the task that made it.
+    lead = cut(final.groupBy("root").agg(F.min("first").alias("lead"), F.sum("copies").alias("class_size")))
     of = final.join(lead, "root").select(F.col("id").alias("bag_hash"), F.col("lead.doc_id").alias("class_id"), F.col("lead.text_key").alias("lead_key"), "class_size")
     out = ["doc_id", "text_key", "class_id", "lead_key", "class_size", "n_words"]
     none = rows.where("n_words = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.col("text_key").alias("lead_key"), F.lit(1).cast("long").alias("class_size"), "n_words")

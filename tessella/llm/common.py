@@ -5,8 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 import itertools
+import pickle
+import re
 import sys
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; where none is named (tests), one of our own."""
+    """The shared folder the cluster names; where none is named, one of our own if Spark runs in this process alone."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None)
     if shared:
@@ -34,10 +37,19 @@ def scratch_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(shared)
         return shared.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint, which survives a lost executor."""
     scratch_dir(df.sparkSession)
@@ -157,6 +169,52 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def in_task(rows: DataFrame, build: Callable[[Iterator[pa.RecordBatch]], object]):
+    """What `build` makes of a table of bounded size. It runs in one task, so that models aren't trained in the driver's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = pickle.dumps(build(batches))
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["made"])
+
+    made = rows.repartition(1).mapInArrow(run, "made binary").first()
+    return pickle.loads(made.made) if made else build(iter(()))
+
+
+class Drawn:
+    """The texts of the least hashes of each kind: at most `most` distinct ones, and beyond the first no more than `size` bytes in all.
+
+    Whole texts of any length come in; the order is by hash alone, so length doesn't decide.
+    """
+
+    def __init__(self, most: int, size: int):
+        self.most, self.size, self.kinds = most, size, {}
+
+    def add(self, kind, h: int, text: str) -> None:
+        rows = self.kinds.setdefault(kind, {"bytes": 0, "rows": set()})
+        if (h, text) not in rows["rows"]:
+            rows["rows"].add((h, text))
+            rows["bytes"] += len(text)
+            if len(rows["rows"]) > 3 * self.most or rows["bytes"] > 3 * self.size and len(rows["rows"]) > 1:
+                kept = self._least(rows["rows"])
+                self.kinds[kind] = {"bytes": sum(len(t) for _, t in kept), "rows": set(kept)}
+
+    def _least(self, rows: set) -> list[tuple[int, str]]:
+        out, total = [], 0
+        for h, t in sorted(rows)[: self.most]:
+            total += len(t.encode())
+            if out and total > self.size:
+                break
+            out.append((h, t))
+        return out
+
+    def rows(self, kind) -> list[tuple[int, str]]:
+        return self._least(self.kinds[kind]["rows"])
+
+    def texts(self) -> dict:
+        return {k: [t for _, t in self.rows(k)] for k in sorted(self.kinds)}
+
+
 _held: tuple = (None, None, None)
 
 
@@ -165,15 +223,21 @@ def held(kind: str, source, make):
     global _held
     if _held[0] != kind or not (_held[1] is source or isinstance(source, str) and _held[1] == source):
         _held = (None, None, None)
+        trim()
         _held = (kind, source, make(source))
     return _held[2]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of rounds that are over, which it does as the driver's garbage goes; freed memory goes back to the system."""
+def trim() -> None:
+    """Gives freed memory of this process back to the system."""
     gc.collect()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of rounds that are over, which it does as the driver's garbage goes; freed memory goes back to the system."""
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 

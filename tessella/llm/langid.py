@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, WordIndex, doc_sums, hash_limit, held, lowered, slices, split_words
+from .common import LETTERS, Drawn, WordIndex, doc_sums, hash_limit, held, in_task, lowered, slices, split_words
 
 ORDER = 5
-#: Bounds of the training sample: documents a language, and characters a document.
-TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
+#: Bounds of the training sample, for each language: documents, and bytes of all their texts.
+TRAIN_DOCS, TRAIN_BYTES = 300, 3 << 20
 #: Every so manyth sampled document calibrates instead of training.
 CALIBRATE = 5
 UNDETERMINED = "und"
@@ -186,33 +187,40 @@ def judge(model: Model, h: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, n
     return best, score, (chars == 0) | (h.min(1) > limit)
 
 
-def sample(labelled: DataFrame, docs_a_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, list[bytes]]:
-    """At most `docs_a_language` texts of up to `chars` characters of each language, by the least hash of the text.
+def drawn(labelled: DataFrame, docs_a_language: int = TRAIN_DOCS) -> DataFrame | None:
+    """lang, h, text: of each language the rows whose text has one of the least hashes, about twice `docs_a_language`. None where no row has a language.
 
-    Counts come first; a hash threshold then leaves about twice the bound, so no group is ever sorted whole.
+    Counts come first; a hash threshold by language then bounds what is read on, so no group is sorted or gathered whole.
     """
-    usable = labelled.where((F.length("text") > 0) & (F.length("text") <= chars) & F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("text", F.lit(17)).alias("h"))
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    usable = labelled.where("text is not null and lang is not null")
+    counts = {r.lang: r.n for r in labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return {}
-    cut_off = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(hash_limit((2 * docs_a_language + 50) / n)))))
-    rows = usable.where(F.col("h") <= F.element_at(cut_off, F.col("lang"))).select("lang", "h", "text").toLocalIterator()
-    found: dict[str, list[tuple[int, str]]] = defaultdict(list)
-    for r in rows:
-        found[r.lang].append((r.h, r.text))
-        if len(found[r.lang]) > 3 * docs_a_language:
-            found[r.lang] = sorted(set(found[r.lang]))[:docs_a_language]
-    return {k: [t.lower().encode() for _, t in sorted(set(v))[:docs_a_language]] for k, v in found.items()}
+        return None
+    cut_off = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(hash_limit((2 * docs_a_language + 50) / n)))))
+    return usable.select("lang", F.xxhash64("text", F.lit(17)).alias("h"), "text").where(F.col("h") <= F.element_at(cut_off, F.col("lang")))
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """A calibrated model of the languages in `labelled` (text, lang), or None where none is labelled."""
-    samples = sample(labelled)
-    if not samples:
-        return None
-    apart = {k: v[::CALIBRATE] if len(v) >= 2 * CALIBRATE else [] for k, v in samples.items()}
-    kept = {k: [t for i, t in enumerate(v) if not apart[k] or i % CALIBRATE] for k, v in samples.items()}
-    return calibrate(train(kept), [(k, t) for k in sorted(samples) for t in (apart[k] or samples[k])])
+    """A calibrated model of the languages in `labelled` (text, lang), or None where none is labelled.
+
+    It learns from at most TRAIN_DOCS distinct whole texts of each language, of any length, in the order of their
+    hashes until they make TRAIN_BYTES; repeated rows count once. One task trains it.
+    """
+    rows = drawn(labelled)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Model | None:
+        least = Drawn(TRAIN_DOCS, TRAIN_BYTES)
+        for b in batches:
+            for lang, h, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                least.add(lang, h, text)
+        samples = {k: lowered(pa.array(v, pa.string())) for k, v in least.texts().items()}
+        if not samples:
+            return None
+        apart = {k: v[::CALIBRATE] if len(v) >= 2 * CALIBRATE else [] for k, v in samples.items()}
+        kept = {k: [t for i, t in enumerate(v) if not apart[k] or i % CALIBRATE] for k, v in samples.items()}
+        return calibrate(train(kept), [(k, t) for k in sorted(samples) for t in (apart[k] or samples[k])])
+
+    return None if rows is None else in_task(rows, build)
 
 
 def predict(text: Column, model: Model | None, spark) -> Column:
