@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bagminhash, decontam, langid, sp_codec, toxcnn
-from tessella.llm.common import prepare, scratch_dir, table, tokenizer_path
+from tessella.llm.common import delete, prepare, scratch_dir, table, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what a stage keeps is written to the shared folder and reread by the next."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{scratch_dir(spark)}/tessella-pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)  # only the last stage's table is still read, by the result
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
