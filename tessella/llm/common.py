@@ -53,7 +53,12 @@ def delete(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint, which survives a lost executor."""
     scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # A checkpoint keeps its plan's estimated size and constraints. Over rounds of joins the estimate is multiplied into a number
+    # of millions of digits, so the rows go on as a table of which nothing is assumed.
+    spark = df.sparkSession
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
