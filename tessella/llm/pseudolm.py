@@ -26,9 +26,11 @@ PART = 1 << 20
 LETTERS = 40
 SPAN = (-2, -1, 1, 2)
 DIM = 16
-STEP, RATE = 4096, 0.05
+STEP, RATE = 8192, 0.05
 #: Words of a fold, which one network runs through; one of so many folds comes first, to give all others a common start.
 FOLD, FIRST = 1 << 20, 8
+#: Folds get a task each up to TASKS of them, beyond that a task has up to TASK_FOLDS and hands on one sum.
+TASKS, TASK_FOLDS = 64, 8
 FLUSH = 300_000
 BLOCK = 1024
 
@@ -78,7 +80,7 @@ class Network:
         rows = np.arange(len(token))
         p = _softmax(hidden @ self.classes + self.class_bias)
         log_p = np.log(p[rows, kind])
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.int16), kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         back = None
         if grads is not None:
@@ -105,8 +107,8 @@ class Network:
             back *= 1 - hidden * hidden
             for i, a in enumerate(around):
                 order = np.argsort(a.astype(np.int16), kind="stable")
-                name, first = np.unique(a[order], return_index=True)
-                grads[0][i, name] += np.add.reduceat(back[order], first, axis=0)
+                first = np.flatnonzero(np.diff(a[order], prepend=-1))
+                grads[0][i, a[order[first]]] += np.add.reduceat(back[order], first, axis=0)
         return log_p
 
 
@@ -327,8 +329,8 @@ def trained(rows: DataFrame, folds: int, net: Network, squares: list[np.ndarray]
                 total[block] = total.get(block, 0) + sums.values.to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(list(total.values()), pa.list_(pa.int64()))], names=["block", "sums"])
 
-    dealt = rows.select(F.pmod("deal", F.lit(folds)).alias("fold"), "ids", "deal").repartitionByRange(min(folds, 10_000), "fold").sortWithinPartitions("fold", "deal", "ids")
-    sums = dealt.select("fold", "ids").mapInArrow(run, "block int, sums array<bigint>").repartition("block").mapInArrow(add, "block int, sums array<bigint>")
+    dealt = rows.select(F.pmod("deal", F.lit(folds)).alias("fold"), "ids", "deal").repartitionByRange(min(folds, max(TASKS, folds // TASK_FOLDS)), "fold").sortWithinPartitions("fold", "deal", "ids")
+    sums = dealt.select("fold", "ids").mapInArrow(run, "block int, sums array<bigint>").repartition(-(-2 * len(net.flat()) // BLOCK), "block").mapInArrow(add, "block int, sums array<bigint>")
     flat = [np.array(r.sums, np.int64) for r in sorted(sums.collect(), key=lambda r: r.block)]
     if not flat:
         return net, squares
