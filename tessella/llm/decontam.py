@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +14,9 @@ from .common import cut
 
 WINDOW = 10
 #: Largest block of benchmark text, in bytes, whose index goes to every worker; more items make more blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
+#: Candidate windows compared at a time.
+CANDIDATES = 1 << 18
 
 #: ASCII letters in lower case and digits stay, other ASCII ends a word, everything else is part of a word.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -34,41 +36,69 @@ class Index:
     A window is contained exactly or not at all, so by the prefix bound one word of it suffices, and the
     rarest makes the fewest candidates. Its place in the window fixes where the window must start
     (position), the window's own length how far it reaches, and all words are then compared.
+    Everything but the words themselves lies in arrays, of some 60 bytes a window.
     """
 
     def __init__(self, items: list[tuple[str, bytes]], counts: dict[bytes, int], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        owners: dict[tuple, set[str]] = defaultdict(set)
+        self.items = sorted({item for item, _ in items})
+        name, rows, owners = {item: i for i, item in enumerate(self.items)}, [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            ws = words(text)
-            ids = [self.number.setdefault(w, len(self.number)) for w in ws]
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                owners[tuple(ids[i : i + n])].add(item)
-        freq = np.zeros(len(self.number) + 1, np.int64)
-        for w, i in self.number.items():
-            freq[i] = counts.get(w, 0)
-        self.windows = [np.array(w, np.int64) for w in owners]
-        self.owners = [sorted(o) for o in owners.values()]
-        #: By word: (window, place of the word in it).
-        self.anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, w in enumerate(self.windows):
-            place = min(range(len(w)), key=lambda j: (freq[w[j]], w[j], j))
-            self.anchors[int(w[place])].append((k, place))
-        self.is_anchor = np.zeros(len(self.number) + 1, bool)
-        self.is_anchor[list(self.anchors)] = True
-        self.anchor_words = {w for w, i in self.number.items() if self.is_anchor[i]}
+            ids = np.array([self.number.setdefault(w, len(self.number)) for w in words(text)], np.int32)
+            if n := min(window, len(ids)):
+                own = np.full((len(ids) - n + 1, window), -1, np.int32)
+                own[:, :n] = np.lib.stride_tricks.sliding_window_view(ids, n)
+                rows.append(own)
+                owners.append(np.full(len(own), name[item], np.int32))
+        self.windows, back = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([back.reshape(-1), np.concatenate(owners)], 1), axis=0)
+        self.owner, self.owner_from = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
+        self.length = (self.windows >= 0).sum(1)
+        freq = np.array([*(counts.get(w, 0) for w in self.number), 0], np.int64)
+        rank = np.empty(len(freq), np.int64)
+        rank[np.lexsort((np.arange(len(freq)), freq))] = np.arange(len(freq))
+        rank[-1] = len(freq)  # where a shorter window has no word
+        place = rank[self.windows].argmin(1) if len(self.windows) else np.zeros(0, np.int64)
+        anchor = self.windows[np.arange(len(self.windows)), place] if len(self.windows) else np.zeros(0, np.int32)
+        #: Windows in the order of their anchors, the anchors' places in them, and where each word's windows start.
+        self.by_anchor = np.argsort(anchor, kind="stable")
+        self.place = place[self.by_anchor]
+        self.first = np.searchsorted(anchor[self.by_anchor], np.arange(len(self.number) + 2))
+        self.anchors = np.append(np.diff(self.first)[:-1], 0)  # windows of each word; the last, at -1, has none
+        self.anchor_words = {w for w, i in self.number.items() if self.anchors[i]}
 
     def match(self, ids: np.ndarray) -> tuple[np.ndarray, set[str]]:
         """Positions of words in any occurrence of a window, and the items that have one. ids: -1 for words of no item."""
-        hit, items = np.zeros(len(ids), bool), set()
-        for p in np.flatnonzero(self.is_anchor[ids]):  # the last flag, at -1, is never set
-            for k, place in self.anchors[int(ids[p])]:
-                w, start = self.windows[k], p - place
-                if start >= 0 and start + len(w) <= len(ids) and np.array_equal(ids[start : start + len(w)], w):
-                    hit[start : start + len(w)] = True
-                    items.update(self.owners[k])
-        return np.flatnonzero(hit), items
+        hit = np.zeros(len(ids) + 1, np.int64)
+        at = np.flatnonzero(self.anchors[ids])
+        many = self.anchors[ids[at]]
+        found = set()
+        ends = np.cumsum(many)
+        for low, high in _runs(ends, CANDIDATES):  # candidates are compared so many at a time
+            p, n = at[low:high], many[low:high]
+            k = np.repeat(self.first[ids[p]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start, k = np.repeat(p, n) - self.place[k], self.by_anchor[k]
+            ok = (start >= 0) & (start + self.length[k] <= len(ids))
+            start, k = start[ok], k[ok]
+            for j in range(self.windows.shape[1]):
+                word = self.windows[k, j]
+                same = (word < 0) | (ids[np.minimum(start + j, len(ids) - 1)] == word)
+                start, k = start[same], k[same]
+            np.add.at(hit, start, 1)
+            np.add.at(hit, start + self.length[k], -1)
+            found.update(np.unique(k).tolist())
+        items = {self.items[o] for k in found for o in self.owner[self.owner_from[k] : self.owner_from[k + 1]].tolist()}
+        return np.flatnonzero(np.cumsum(hit[:-1]) > 0), items
+
+
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts running totals into runs of at most `most`, or of one."""
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield low, high
+        low = high
 
 
 def corpus_counts(docs: DataFrame, vocabulary: list[bytes]) -> dict[bytes, int]:
@@ -128,11 +158,10 @@ def _hits(text: Column, index: Index, spark: SparkSession) -> Column:
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """An index for each block of the benchmark, its words ordered by how rare they are in all of `docs`."""
-    vocabulary = sorted({w for b in blocks(benchmark, block_bytes) for _, t in b for w in words(t)})
-    counts = corpus_counts(docs, vocabulary) if vocabulary else {}
+    """An index for each block of the benchmark, its words ordered by how rare they are in all of `docs`. Only one block's words are here at a time."""
     for b in blocks(benchmark, block_bytes):
-        yield Index(b, counts, window)
+        vocabulary = sorted({w for _, t in b for w in words(t)})
+        yield Index(b, corpus_counts(docs, vocabulary) if vocabulary else {}, window)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -152,15 +181,16 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     are ignored. The benchmark is the stated query set: its index goes to the workers by blocks of
     bounded size, and each block meets all documents.
     """
-    every = list(indexes(docs, benchmark, window, block_bytes))
     hits = lambda rows, i: rows.withColumn("h", _hits(F.col("text"), i, docs.sparkSession)).drop("text").select("*", "h.*").drop("h")
-    rows = docs.select("doc_id", "text")
-    if len(every) == 1:
-        return hits(rows, every[0])
+    rows, found = docs.select("doc_id", "text"), None
+    each = indexes(docs, benchmark, window, block_bytes)
+    index, more = next(each), next(each, None)
+    if more is None:
+        return hits(rows, index)
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # fixed once written
-    found = hits(rows, every[0])
-    for index in every[1:]:
-        found = found.unionByName(hits(rows, index))
+    found = hits(rows, index)
+    while more is not None:
+        found, more = found.unionByName(hits(rows, more).where("size(places) > 0")), next(each, None)
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731  a row a block
     return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), merged("places").alias("places"), merged("items").alias("items")).drop("row")
 

@@ -69,4 +69,36 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece_codec, op2_kneser_ney_language, op3_bagminhash_near_dedup, op4_byte_balanced_shards, op5_dac_token_files, op6_spotsigs_fingerprints, op7_masked_pseudo_likelihood, op8_token_counts, op9_benchmark_decontamination, op10_toxicity_cnn)}
-ORACLE_SQL: dict[str, str] = {}
+
+# --- DuckDB ------------------------------------------------------------------
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)"
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_SHARDS_SQL = f"""
+WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+sized AS MATERIALIZED (
+    SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, b: xor(c >> 8, t[xor(c % 256, b) + 1])), 4294967295) AS text_crc32
+    FROM documents, crc),
+run AS (SELECT *, sum(size) OVER o - size AS ahead, sum(size) OVER () AS every FROM sized WINDOW o AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)),
+placed AS (SELECT *, least(7, ((2 * ahead + size) * 8) // (2 * every))::INTEGER AS shard FROM run)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard FROM placed
+"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_WINDOW = "array_to_string(list_slice(w, i, i + n - 1), ' ')"
+_DECONTAMINATION_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+spans AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+item_windows AS MATERIALIZED (SELECT DISTINCT item, n, {_WINDOW} AS s FROM spans),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+found AS MATERIALIZED (SELECT r, i, p.n, item FROM (SELECT r, i, n, {_WINDOW} AS s FROM places) p JOIN item_windows USING (n, s)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+own AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_byte_balanced_shards": _SHARDS_SQL, "op9_benchmark_decontamination": _DECONTAMINATION_SQL}
