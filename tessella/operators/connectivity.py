@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.geometry import SlicPlan
+from ..plans.geometry import SlicPlan, tiles
 from .lineage import cut
 
 #: Sides of the tiles whose inner components one call finds, of flat images and of volumes.
@@ -101,7 +101,7 @@ def tiled_components(labels: DataFrame, plan: SlicPlan) -> tuple[DataFrame, Data
         labels.select("image_id", "z", "y", "x", "label").groupBy("image_id", *(t.alias(f"t{a}") for t, a in zip(tile, "zyx")))
         .applyInPandas(_tile_components(plan), "image_id long, z int, y int, x int, p long, label long, local long, next_z long, next_y long, next_x long")
     )
-    if all(n <= side for n in plan.shape):
+    if tiles(plan.shape, side) == (1, 1, 1):
         return cells.withColumnRenamed("local", "comp"), None
     ties = _neighbours(cells, plan, "local", side).where("label_a = label_b").select("image_id", "a", "b")
     both = cut(ties.union(ties.select("image_id", F.col("b"), F.col("a"))).distinct())

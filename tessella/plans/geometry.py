@@ -10,14 +10,9 @@ def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 
 
-def line_blocks(total: int, block: int = 128) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
-    """Block and grid of a line of `total` items; the grid's first number is a count of partitions."""
-    return (block, 1, 1), (ceil_div(total, block), 1, 1)
-
-
-def box_blocks(shape: tuple[int, int, int], block: tuple[int, int, int] = (2, 4, 32)) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
-    """Tile and number of tiles along each axis of a box."""
-    return tuple(block), tuple(ceil_div(n, b) for n, b in zip(shape, block))
+def tiles(shape: tuple[int, int, int], side: int) -> tuple[int, int, int]:
+    """How many tiles of a side lie along each axis of a box."""
+    return tuple(ceil_div(n, side) for n in shape)
 
 
 def canonical(shape: tuple[int, ...], multichannel: bool = True) -> tuple[tuple[int, int, int, int], bool]:

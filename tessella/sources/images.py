@@ -62,21 +62,40 @@ def _filled(spark: SparkSession, counts: DataFrame, shape: tuple[int, int, int],
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def events_image(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataFrame:
-    """Days by hours, events counted; one channel, or one a type."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.dayofmonth("ts") - 1).alias("y"), F.hour("ts").alias("x"), "event_type")
-    aggs = [F.count_if(F.col("event_type") == t).alias(t) for t in EVENT_TYPES] if by_type else [F.count("*").alias("n")]
-    return _filled(spark, e.groupBy(F.lit(0).alias("z"), "y", "x").agg(*aggs), (1, 30, 24), EVENT_TYPES if by_type else ["n"])
+Box = tuple[int, int, int, int]
 
 
-def lineitem_image(spark: SparkSession, sf_dir: str, three_d: bool = False) -> DataFrame:
-    """Line number by quantity, and by month in 3-D, items counted."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    line, qty = F.col("l_linenumber") - 1, F.col("l_quantity").cast("int") - 1
-    if three_d:
-        month = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
-        return _filled(spark, li.groupBy(line.alias("z"), qty.alias("y"), month.alias("x")).agg(F.count("*").alias("n")), (7, 50, 83), ["n"])
-    return _filled(spark, li.groupBy(F.lit(0).alias("z"), line.alias("y"), qty.alias("x")).agg(F.count("*").alias("n")), (1, 7, 50), ["n"])
+def events_image(spark: SparkSession, sf_dir: str, by_type: bool = False) -> tuple[DataFrame, Box]:
+    """Days (from the first one on) by hours, events counted; one channel, or one a type. And the image's shape, as far as the data reach."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts is not null")
+    ends = e.agg(F.min(F.to_date("ts")).alias("low"), F.max(F.to_date("ts")).alias("high")).first()
+    days = (ends.high - ends.low).days + 1
+    cells = e.select(F.date_diff(F.to_date("ts"), F.lit(ends.low)).alias("y"), F.hour("ts").alias("x"), "event_type")
+    aggs = [F.count_if(F.col("event_type") == t).alias(t) for t in EVENT_TYPES] if by_type else [F.count("*").alias("n")]
+    names = EVENT_TYPES if by_type else ["n"]
+    return _filled(spark, cells.groupBy(F.lit(0).alias("z"), "y", "x").agg(*aggs), (1, days, 24), names), (1, days, 24, len(names))
+
+
+def colour_image(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Box]:
+    """events_image() with three channels, from 0 to 1: counts of the first three types, each 24 levels of 255."""
+    px, (z, y, x, _) = events_image(spark, sf_dir, by_type=True)
+    return px.withColumn("features", F.transform(F.slice("features", 1, 3), lambda v: ((v.cast("long") * 24) % 256 / 255.0).cast("float"))), (z, y, x, 3)
+
+
+def lineitem_image(spark: SparkSession, sf_dir: str, along: str = "quantity") -> tuple[DataFrame, Box]:
+    """Items counted, and the image's shape as far as the data reach. `along`: `quantity`, lines by quantities; `month`, also by months
+    from the first one on; `year`, also by years, with a second channel that counts items of a discount over 5 %.
+    """
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("qty"), "l_shipdate", "l_discount")
+    li = li.withColumns({"month": F.year("l_shipdate") * 12 + F.month("l_shipdate"), "year": F.year("l_shipdate")}).where("line > 0 and qty > 0 and l_shipdate is not null")
+    ends = li.agg(F.max("line").alias("line"), F.max("qty").alias("qty"), *(f(c).alias(f"{n}_{c}") for c in ("month", "year") for n, f in (("low", F.min), ("high", F.max)))).first()
+    line, qty, n = F.col("line") - 1, F.col("qty") - 1, F.count("*").alias("n")
+    if along == "quantity":
+        return _filled(spark, li.groupBy(F.lit(0).alias("z"), line.alias("y"), qty.alias("x")).agg(n), (1, ends.line, ends.qty), ["n"]), (1, ends.line, ends.qty, 1)
+    low, high = ends[f"low_{along}"], ends[f"high_{along}"]
+    box, names = (ends.line, ends.qty, high - low + 1), ["n", "cheap"] if along == "year" else ["n"]
+    counted = li.groupBy(line.alias("z"), qty.alias("y"), (F.col(along) - low).alias("x")).agg(n, F.count_if(F.col("l_discount") > 0.05).alias("cheap"))
+    return _filled(spark, counted, box, names), (*box, len(names))
 
 
 def embedding_image(spark: SparkSession, sf_dir: str) -> DataFrame:

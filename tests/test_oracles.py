@@ -29,7 +29,3 @@ def test_query_equals_sql(spark, duck, name):
     assert ours == sorted(duck.sql(f"SELECT {', '.join(columns)} FROM theirs").fetchall())
 
 
-@pytest.mark.parametrize("name", ["slic_connected_ev", "slic_connected_li3"])
-def test_connected_labels_are_dense(spark, name):
-    labels = [r.label for r in queries.QUERIES[name](spark, SF).select("label").distinct().collect()]
-    assert sorted(labels) == list(range(len(labels)))

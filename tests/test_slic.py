@@ -3,7 +3,7 @@ import pytest
 
 from tessella.operators.connectivity import components, enforce
 from tessella.operators.slic import slic
-from tessella.plans.geometry import box_blocks, line_blocks, plan
+from tessella.plans.geometry import plan, tiles
 from tessella.sources.images import blobs, from_array, infer_shape, to_array
 
 CHERRY = np.array([[1, 1, 0, 0], [1, 1, 0, 0], [1, 1, 1, 1], [1, 1, 1, 1]])
@@ -42,9 +42,8 @@ def test_geometry(shape, n, kw, sp_shape, grid, least, most):
     assert (p.sp_shape, p.sp_grid, p.min_size, p.max_size) == (sp_shape, grid, least, most)
 
 
-def test_launch_shapes():
-    assert line_blocks(33, 32)[1][0] == line_blocks(64, 32)[1][0] == 2
-    assert box_blocks((33,) * 3, (32,) * 3)[1] == box_blocks((64,) * 3, (32,) * 3)[1] == (2, 2, 2)
+def test_tiles():
+    assert tiles((33,) * 3, 32) == tiles((64,) * 3, 32) == (2, 2, 2) and tiles((1, 32, 7), 32) == (1, 1, 1)
 
 
 @pytest.mark.parametrize("shape, kw", [((5,), {}), ((1,) * 5, {}), ((2, 5, 1), {"convert2lab": True}), ((5, 5), {"n_segments": 0}), ((5, 5), {"compactness": 0})])
