@@ -15,6 +15,8 @@ from .centers import LIMIT
 RADIUS = 2
 #: Centers of more than this go by join, not by broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Pixels in a block that is assigned at a time, and its bytes.
+BLOCK_PIXELS, BLOCK_BYTES = 1 << 16, 8 << 20
 
 
 def home_cell(plan: SlicPlan) -> Column:
@@ -62,18 +64,32 @@ def assign(home: DataFrame, centers: DataFrame, plan: SlicPlan) -> DataFrame:
     return won.select("image_id", "z", "y", "x", "features", "cell", pick("c").alias("c"), pick("cz").alias("pz"), pick("cy").alias("py"), pick("cx").alias("px"))
 
 
-def fits(plan: SlicPlan, images: int) -> bool:
-    return plan.n_centers * images * 8 * (plan.channels + 4) <= BROADCAST_BYTES
+def most_images(plan: SlicPlan) -> int:
+    """Of how many images the centers fit the bound together."""
+    return BROADCAST_BYTES // (plan.n_centers * 8 * (plan.channels + 4))
 
 
-class _Centers:
-    """All images' centers as arrays, for the workers."""
+class Centers:
+    """All images' centers as arrays, of bounded size, for the driver and the workers. They start as init_centers() has them."""
 
-    def __init__(self, rows: list, plan: SlicPlan):
-        self.plan, self.by_image = plan, {}
-        for r in rows:
-            f, pos, alive = self.by_image.setdefault(r.image_id, (np.zeros((plan.n_centers, plan.channels)), np.zeros((plan.n_centers, 3)), np.zeros(plan.n_centers, bool)))
-            f[r.c], pos[r.c], alive[r.c] = r.f, (r.cz, r.cy, r.cx), r.alive
+    def __init__(self, images: list[int], plan: SlicPlan):
+        n, size = plan.n_centers, np.array(plan.sp_shape)
+        lattice = (np.stack(np.unravel_index(np.arange(n), plan.sp_grid), 1) * size + size // 2).astype(np.float64)
+        self.plan, self.by_image = plan, {i: (np.zeros((n, plan.channels)), lattice.copy(), np.ones(n, bool)) for i in images}
+
+    def updated(self, sums: list) -> Centers:
+        """What update() makes of them by rows of sums_arrow()."""
+        new = Centers([], self.plan)
+        for i, (f, pos, _) in self.by_image.items():
+            f = f.copy()
+            f[:, 0] = LIMIT
+            new.by_image[i] = (f, pos.copy(), np.zeros(self.plan.n_centers, bool))
+        for r in sums:
+            f, pos, alive = new.by_image[r.image_id]
+            f[r.c] = np.array(r.f_sum) / r.n
+            pos[r.c] = np.array((r.z_sum, r.y_sum, r.x_sum)) / r.n
+            alive[r.c] = f[r.c, 0] != LIMIT
+        return new
 
     def nearest(self, image: int, at: np.ndarray, features: np.ndarray) -> np.ndarray:
         """Each pixel's center. Pixels go by home cell; a candidate that is further from the box around a cell's pixels (in place and
@@ -133,31 +149,62 @@ class _Centers:
         return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], centers: _Centers):
+BLOCKS = "image_id long, at binary, features binary"
+
+
+def blocks(home: DataFrame, plan: SlicPlan) -> DataFrame:
+    """Pixels in blocks of one image, BLOCK_PIXELS or BLOCK_BYTES at most: places (32-bit z, y, x) and features as they lie in memory.
+
+    Rounds go over these few rows without turning pixels into Arrow columns each time.
+    """
+    most = max(1, min(BLOCK_PIXELS, BLOCK_BYTES // (8 * plan.channels + 12)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            image, at, features = (np.concatenate(x) for x in zip(*parts))
+            for i in np.unique(image):
+                own = np.flatnonzero(image == i)
+                for low in range(0, len(own), most):
+                    k = own[low : low + most]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int64()), pa.array([at[k].tobytes()], pa.binary()), pa.array([features[k].tobytes()], pa.binary())], names=["image_id", "at", "features"])
+
+        for b in batches:
+            parts.append((b.column(0).to_numpy(), np.stack([b.column(i).to_numpy() for i in (1, 2, 3)], 1), b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)))
+            rows += b.num_rows
+            if rows >= most:
+                yield from out()
+                parts, rows = [], 0
+        if rows:
+            yield from out()
+
+    return home.select("image_id", "z", "y", "x", "features").mapInArrow(run, BLOCKS)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], centers: Centers):
     for b in batches:
-        image = b.column(0).to_numpy()
-        at = np.stack([b.column(i).to_numpy() for i in (1, 2, 3)], 1).astype(np.int64)
-        features = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(image), -1)
-        for i in np.unique(image):
-            own = np.flatnonzero(image == i)
-            yield int(i), at[own], features[own], centers.nearest(int(i), at[own], features[own])
+        for image, raw, values in zip(*(b.column(i).to_pylist() for i in range(3))):
+            at = np.frombuffer(raw, np.int32).reshape(-1, 3).astype(np.int64)
+            features = np.frombuffer(values, np.float64).reshape(len(at), -1)
+            yield image, at, features, centers.nearest(image, at, features)
 
 
-def assign_arrow(home: DataFrame, rows: list, plan: SlicPlan) -> DataFrame:
-    """image_id, z, y, x, c of every pixel, the centers (`rows`) broadcast."""
-    shared = home.sparkSession.sparkContext.broadcast(_Centers(rows, plan))
+def assign_arrow(packed: DataFrame, centers: Centers) -> DataFrame:
+    """image_id, z, y, x, c of every pixel of blocks(), the centers broadcast."""
+    shared = packed.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, at, _, c in _batches(batches, shared.value):
             at = at.astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), i, np.int64)), *(pa.array(np.ascontiguousarray(at[:, k])) for k in range(3)), pa.array(c)], names=["image_id", "z", "y", "x", "c"])
 
-    return home.select("image_id", "z", "y", "x", "features").mapInArrow(run, "image_id long, z int, y int, x int, c long")
+    return packed.mapInArrow(run, "image_id long, z int, y int, x int, c long")
 
 
-def sums_arrow(home: DataFrame, rows: list, plan: SlicPlan) -> DataFrame:
-    """partial_sums() straight from the pixels: batches give one row a center, and only these are shuffled."""
-    shared = home.sparkSession.sparkContext.broadcast(_Centers(rows, plan))
+def sums_arrow(packed: DataFrame, centers: Centers) -> DataFrame:
+    """partial_sums() straight from blocks(): they give one row a center, and only these are shuffled."""
+    shared, plan = packed.sparkSession.sparkContext.broadcast(centers), centers.plan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = shared.value
@@ -172,7 +219,7 @@ def sums_arrow(home: DataFrame, rows: list, plan: SlicPlan) -> DataFrame:
                 [pa.array(np.full(len(name), i, np.int64)), pa.array(name), pa.array(np.bincount(back, minlength=len(name)).astype(np.int64)), pa.array(list(sums), pa.list_(pa.float64()))], names=["image_id", "c", "n", "sums"]
             )
 
-    parts = home.select("image_id", "z", "y", "x", "features").mapInArrow(run, "image_id long, c long, n long, sums array<double>")
+    parts = packed.mapInArrow(run, "image_id long, c long, n long, sums array<double>")
     n = plan.channels
     total = parts.groupBy("image_id", "c").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("sums")[i]) for i in range(n))).alias("f_sum"), *(F.sum(F.col("sums")[n + k]).alias(f"{a}_sum") for k, a in enumerate("zyx")))
     return total

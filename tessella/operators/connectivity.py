@@ -73,25 +73,26 @@ def _neighbours(cells: DataFrame, plan: SlicPlan, of: str, tile: int = 1) -> Dat
     return ahead.join(met.select("image_id", "p", F.col("label").alias("label_b"), F.col(of).alias("b")), ["image_id", "p"]).where("a <> b").select("image_id", "a", "b", "label_a", "label_b").distinct()
 
 
-def _faces(cells: DataFrame, roots: DataFrame | None, plan: SlicPlan) -> DataFrame:
-    """image_id, a, b: components that touch. Inside a tile its pixels know the part ahead of them; only the rims of tiles are joined."""
-    ahead = F.filter(F.array("next_z", "next_y", "next_x"), lambda v: v >= 0)
-    inner = cells.where("next_z >= 0 or next_y >= 0 or next_x >= 0").select("image_id", F.col("comp").alias("a"), F.explode(ahead).alias("b")).distinct()
-    if roots is None:
-        return inner
-    ends = roots.select("image_id", F.col("local").alias("b"), F.col("comp").alias("root_b"))
-    inner = inner.join(ends, ["image_id", "b"], "left").select("image_id", "a", F.coalesce("root_b", "b").alias("b")).where("a <> b")
-    return inner.union(_neighbours(cells, plan, "comp", tile_side(plan)).select("image_id", "a", "b")).distinct()
-
-
 def components(labels: DataFrame, plan: SlicPlan) -> DataFrame:
     """image_id, z, y, x, p, label, comp: the least linear index of each pixel's component of equal label (faces touch)."""
-    return tiled_components(labels, plan)[0].drop("next_z", "next_y", "next_x")
+    cells, roots, _ = tiled_components(labels, plan)
+    return _rooted(cells, roots).select("image_id", "z", "y", "x", "p", "label", "comp")
+
 
+def _rooted(parts: DataFrame, roots: DataFrame | None, of: str = "local", to: str = "comp") -> DataFrame:
+    """Adds the component `to` of the part of a tile in column `of`."""
+    if roots is None:
+        return parts.withColumn(to, F.col(of))
+    ends = roots.select("image_id", F.col("local").alias(of), F.col("comp").alias("root"))
+    return parts.join(ends, ["image_id", of], "left").withColumn(to, F.coalesce("root", of)).drop("root")
 
-def tiled_components(labels: DataFrame, plan: SlicPlan) -> tuple[DataFrame, DataFrame | None]:
-    """components(), with what lies ahead of each pixel: next_z, next_y and next_x are the part of the same tile there, if another than
-    the pixel's own, else -1. And the roots (image_id, local, comp) of the parts of tiles that touch an equal label in another tile, None where there is one tile.
+
+def tiled_components(labels: DataFrame, plan: SlicPlan) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Parts of equal label in tiles, and how they hang together: cells, roots, rims.
+
+    cells: image_id, z, y, x, p, label, local (the part), and next_z, next_y, next_x: the part ahead in the same tile, if another
+    than the pixel's own, else -1. roots (image_id, local, comp): the parts that touch an equal label in another tile. rims: parts
+    a, b on both sides of faces between tiles. Both are None where there is one tile.
 
     Tiles of bounded size settle their inner components; only the ties between tiles are then spread by joins.
     """
@@ -102,8 +103,9 @@ def tiled_components(labels: DataFrame, plan: SlicPlan) -> tuple[DataFrame, Data
         .applyInPandas(_tile_components(plan), "image_id long, z int, y int, x int, p long, label long, local long, next_z long, next_y long, next_x long")
     )
     if tiles(plan.shape, side) == (1, 1, 1):
-        return cells.withColumnRenamed("local", "comp"), None
-    ties = _neighbours(cells, plan, "local", side).where("label_a = label_b").select("image_id", "a", "b")
+        return cells, None, None
+    rims = cut(_neighbours(cells, plan, "local", side))
+    ties = rims.where("label_a = label_b").select("image_id", "a", "b")
     both = cut(ties.union(ties.select("image_id", F.col("b"), F.col("a"))).distinct())
     roots = cut(both.groupBy("image_id", F.col("a").alias("local")).agg(F.min("b").alias("m")).select("image_id", "local", F.least("local", "m").alias("comp")))
     while True:
@@ -113,8 +115,7 @@ def tiled_components(labels: DataFrame, plan: SlicPlan) -> tuple[DataFrame, Data
         new = cut(least.join(jump, ["image_id", "to"]).select("image_id", "local", F.least("to", "far").alias("comp"), "was"))
         roots = new.select("image_id", "local", "comp")
         if new.where("comp <> was").isEmpty():
-            break
-    return cells.join(roots, ["image_id", "local"], "left").select("image_id", "z", "y", "x", "p", "label", F.coalesce("comp", "local").alias("comp"), "next_z", "next_y", "next_x"), roots
+            return cells, roots, rims
 
 
 def split_large(cells: DataFrame, plan: SlicPlan) -> DataFrame:
@@ -123,8 +124,6 @@ def split_large(cells: DataFrame, plan: SlicPlan) -> DataFrame:
     most = max(plan.max_size, 1)
     sizes = cells.groupBy("image_id", "comp").agg(F.count("*").alias("size"))
     large = cells.join(sizes.where(F.col("size") > most).select("image_id", "comp"), ["image_id", "comp"])
-    if plan.max_size <= 0 or large.isEmpty():
-        return cells
 
     def chunks(pdf: pd.DataFrame) -> pd.DataFrame:
         z, y, x, p = (pdf[c].to_numpy() for c in ("z", "y", "x", "p"))
@@ -177,24 +176,39 @@ def _merge(least: int):
     return run
 
 
+def _numbered(sizes: DataFrame, faces: DataFrame, plan: SlicPlan) -> DataFrame:
+    """image_id, comp, segment of components (image_id, comp, size) with faces (image_id, a, b): merged, then numbered by their first pixels, which are their names."""
+    if plan.min_size > 0:
+        pairs = faces.select("image_id", F.col("a").alias("comp"), "b").union(faces.select("image_id", F.col("b"), F.col("a"))).groupBy("image_id", "comp").agg(F.array_sort(F.collect_set("b")).alias("near"))
+        graph = sizes.join(pairs, ["image_id", "comp"], "left").select("image_id", "comp", "size", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
+        merged = cut(graph.groupBy("image_id").applyInPandas(_merge(plan.min_size), "image_id long, comp long, merged long"))
+    else:
+        merged = sizes.select("image_id", "comp", F.col("comp").alias("merged"))
+    first = merged.groupBy("image_id", "merged").agg(F.min("comp").alias("first"))
+    dense = first.select("image_id", "merged", (F.dense_rank().over(Window.partitionBy("image_id").orderBy("first")) - 1).cast("long").alias("segment"))
+    return merged.join(dense, ["image_id", "merged"]).select("image_id", "comp", "segment")
+
+
 def enforce(labels: DataFrame, plan: SlicPlan) -> DataFrame:
     """image_id, z, y, x, label: connected segments numbered from 0 in raster order of their first pixels.
 
     Components under min_size go, in raster order, to their lowest-numbered face neighbour; those that come
     before any of their neighbours wait until the others are numbered. The order is sequential, so
-    one task walks an image's graph of components, which has no pixels in it.
+    one task walks an image's graph of components, which has no pixels in it. Pixels are counted by part of a tile and give their
+    inner faces once; all else happens between parts, until each pixel gets the segment of its part.
     """
-    whole, roots = tiled_components(labels, plan)
-    cells = split_large(whole, plan)
-    if plan.min_size > 0:
-        faces = _faces(cells, roots, plan) if cells is whole else _neighbours(cells, plan, "comp")
-        pairs = faces.select("image_id", F.col("a").alias("comp"), "b").union(faces.select("image_id", F.col("b"), F.col("a"))).groupBy("image_id", "comp").agg(F.array_sort(F.collect_set("b")).alias("near"))
-        sizes = cells.groupBy("image_id", "comp").agg(F.count("*").alias("size"))
-        graph = sizes.join(pairs, ["image_id", "comp"], "left").select("image_id", "comp", "size", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
-        merged = graph.groupBy("image_id").applyInPandas(_merge(plan.min_size), "image_id long, comp long, merged long")
-        cells = cells.join(merged, ["image_id", "comp"])
-    else:
-        cells = cells.withColumn("merged", F.col("comp"))
-    first = cells.groupBy("image_id", "merged").agg(F.min("p").alias("first"))
-    dense = first.select("image_id", "merged", (F.dense_rank().over(Window.partitionBy("image_id").orderBy("first")) - 1).cast("long").alias("segment"))
-    return cells.join(dense, ["image_id", "merged"]).select("image_id", "z", "y", "x", F.col("segment").alias("label"))
+    cells, roots, rims = tiled_components(labels, plan)
+    parts = cut(_rooted(cells.groupBy("image_id", "local").agg(F.count("*").alias("size")), roots))
+    sizes = parts.groupBy("image_id", "comp").agg(F.sum("size").alias("size"))
+    if 0 < plan.max_size and not sizes.where(F.col("size") > plan.max_size).isEmpty():
+        whole = split_large(_rooted(cells, roots), plan)
+        counts = whole.groupBy("image_id", "comp").agg(F.count("*").alias("size"))
+        segments = _numbered(counts, _neighbours(whole, plan, "comp").select("image_id", "a", "b"), plan)
+        return whole.join(segments, ["image_id", "comp"]).select("image_id", "z", "y", "x", F.col("segment").alias("label"))
+    ahead = F.filter(F.array("next_z", "next_y", "next_x"), lambda v: v >= 0)
+    faces = cells.where("next_z >= 0 or next_y >= 0 or next_x >= 0").select("image_id", F.col("local").alias("a"), F.explode(ahead).alias("b")).distinct()
+    if rims is not None:
+        faces = faces.union(rims.select("image_id", "a", "b"))
+    faces = _rooted(_rooted(faces, roots, "a", "a"), roots, "b", "b").select("image_id", "a", "b").where("a <> b").distinct()
+    segments = parts.join(_numbered(sizes, faces, plan), ["image_id", "comp"]).select("image_id", "local", "segment")
+    return cells.join(segments, ["image_id", "local"]).select("image_id", "z", "y", "x", F.col("segment").alias("label"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.color import rgb2lab
 from ..plans.geometry import SlicPlan, plan
 from ..sources.images import infer_shape
-from .assign import assign, assign_arrow, fits, sums_arrow, with_home
+from .assign import Centers, assign, assign_arrow, blocks, most_images, sums_arrow, with_home
 from .centers import init_centers, partial_sums, update
 from .connectivity import enforce
 from .lineage import cut
@@ -25,17 +25,26 @@ def prepared(pixels: DataFrame, p: SlicPlan) -> DataFrame:
 def rounds(home: DataFrame, p: SlicPlan, backend: str = "sql") -> DataFrame:
     """image_id, z, y, x, label from 1, after max_iter assignments; the means after the last one aren't needed.
 
-    Centers are cut from their lineage each round. `arrow` broadcasts them, if they fit a fixed bound, and shuffles only sums
-    by center; `sql` joins each cell's candidates by key and has no such bound.
+    `arrow` keeps the centers with the driver, if they fit a fixed bound, broadcasts them and shuffles only sums by center; `sql` joins
+    each cell's candidates by key, has no such bound, and cuts the centers from their lineage each round.
     """
     if p.max_iter == 0:
         return home.select("image_id", "z", "y", "x", F.lit(0).cast("long").alias("label"))
-    centers = cut(init_centers(home, p))
-    by_arrow = backend == "arrow" and fits(p, home.select("image_id").distinct().count())
-    for _ in range(p.max_iter - 1):
-        sums = sums_arrow(home, centers.collect(), p) if by_arrow else partial_sums(assign(home, centers, p), p)
-        centers = cut(update(centers, sums))
-    last = assign_arrow(home, centers.collect(), p) if by_arrow else assign(home, centers, p)
+    most, images = most_images(p), []
+    if backend == "arrow" and most:
+        packed = cut(blocks(home, p))
+        images = [r.image_id for r in packed.select("image_id").distinct().limit(most + 1).collect()]
+    if 0 < len(images) <= most:
+        near = Centers(images, p)
+        for _ in range(p.max_iter - 1):
+            near = near.updated(sums_arrow(packed, near).collect())
+        last = assign_arrow(packed, near)
+    else:
+        home = cut(home) if p.max_iter > 1 else home
+        centers = cut(init_centers(home, p))
+        for _ in range(p.max_iter - 1):
+            centers = cut(update(centers, partial_sums(assign(home, centers, p), p)))
+        last = assign(home, centers, p)
     return last.select("image_id", "z", "y", "x", (F.col("c") + 1).cast("long").alias("label"))
 
 
@@ -57,7 +66,6 @@ def slic(
     dims = ((y, x, c) if multichannel else (y, x)) if flat else ((z, y, x, c) if multichannel or c > 1 else (z, y, x))
     p = plan(dims, n_segments, compactness, spacing, max_iter, multichannel, convert2lab, enforce_connectivity, min_size_factor, max_size_factor)
     home = prepared(pixels, p)
-    home = cut(home) if p.max_iter > 1 else home
     labels = rounds(home, p, backend)
     if p.connect:
         labels = enforce(labels, p)

@@ -168,13 +168,17 @@ def test_tiles_merge_like_one_tile(spark, monkeypatch):
 
 def test_nearest_skips_no_winner():
     from pyspark.sql import Row
-    from tessella.operators.assign import LIMIT, _Centers
+    from tessella.operators.assign import LIMIT, Centers
 
     p, rng = plan((9, 10, 11), 40, 0.3, (1, 2, 0.5), multichannel=False), np.random.default_rng(7)
     rows = [Row(image_id=0, c=c, f=[float(rng.normal())], cz=float(z), cy=float(y), cx=float(x), alive=bool(rng.random() < 0.8)) for c, (z, y, x) in enumerate(rng.integers(0, 11, (p.n_centers, 3)))]
     at = np.stack(np.meshgrid(*map(np.arange, (9, 10, 11)), indexing="ij"), -1).reshape(-1, 3)
     features = np.where(rng.random((len(at), 1)) < 0.01, np.nan, rng.normal(size=(len(at), 1)).round(1))
-    got = _Centers(rows, p).nearest(0, at, features)
+    centers = Centers([0], p)
+    f, pos, alive = centers.by_image[0]
+    for r in rows:
+        f[r.c], pos[r.c], alive[r.c] = r.f, (r.cz, r.cy, r.cx), r.alive
+    got = centers.nearest(0, at, features)
     for q, v, label in zip(at, features, got):
         home = np.minimum(q // np.array(p.sp_shape), np.array(p.sp_grid) - 1)
         best, want = LIMIT, 0
