@@ -167,19 +167,26 @@ def test_near_duplicate_classes_equal_brute_force(spark, real):
     assert bagminhash.classes(df.limit(0)).count() == 0
 
 
-def test_partners_among_near_templates_equal_brute_force(spark, monkeypatch):
+def replaced(template, kept, name):
+    w = list(template)
+    for p in kept:
+        w[p] = f"{name}x{p}"
+    return w
+
+
+@pytest.mark.parametrize("kind", ["partners", "four", "five"])
+def test_near_templates_equal_brute_force(spark, monkeypatch, kind):
     monkeypatch.setattr(bagminhash, "BLOCK_TEXTS", 64)
-    r = random.Random(9)
-    template = [f"t{i}" for i in range(200)]
-    texts = []
-    for i in range(200):  # mostly 0.735 apart from each other, each with a partner at about 0.82
-        w = list(template)
-        for p in r.sample(range(5, 195, 6), 3):
-            w[p] = f"a{i}x{p}"
-        texts.append(" ".join(w))
-        for p in r.sample(range(5, 195, 6), 4):
-            w[p] = f"b{i}x{p}"
-        texts.append(" ".join(w))
+    r, texts = random.Random(9), []
+    if kind == "partners":  # a hundred texts, any two of which share one of three replaced words at most, 0.77 alike; each with a partner at 0.815
+        template, places = [f"t{i}" for i in range(200)], range(5, 195, 6)
+        for i in range(100):
+            a, b = divmod(i, 10)
+            own = replaced(template, [places[x] for x in (a, 10 + b, 20 + (a + b) % 10)], f"a{i}")
+            texts += [" ".join(own), " ".join(replaced(own, [p for p in places if own[p] == template[p]][i % 7 : i % 7 + 4], f"b{i}"))]
+    else:  # texts that differ from one base in as many words each
+        template = [f"t{i}" for i in range(300)]
+        texts = [" ".join(replaced(template, r.sample(range(300), 4 if kind == "four" else 5), f"a{i}")) for i in range(300)]
     bags = [set(bag(t)) for t in texts]
     parent = list(range(len(texts)))
 
@@ -195,7 +202,7 @@ def test_partners_among_near_templates_equal_brute_force(spark, monkeypatch):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     got = bagminhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert len({root(k) for k in range(len(texts))}) > 100
+    assert kind != "partners" or len({root(k) for k in range(len(texts))}) == 100
     assert {r.doc_id: r.class_id for r in got} == {k: root(k) for k in range(len(texts))}
 
 
