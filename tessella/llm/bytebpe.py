@@ -13,6 +13,8 @@ from .sp_codec import PieceCodec
 
 #: A blank inside a longer run of white space, where a cut would change the pre-tokens.
 _LONG_RUN = re.compile(r"\s (?:\s|\Z)")
+#: A blank between two other characters than white space, where a cut never does.
+_SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 #: White space other than blanks and line feeds, whose absence saves the search for long runs.
@@ -48,8 +50,8 @@ class ByteBpe:
     """A cut before a blank that follows a non-blank never changes byte-level pre-tokens.
 
     So a text is cut at its single blanks, each piece with its blank is encoded once, and ids are joined
-    back by position. Texts with longer runs of white space around a blank, or with the string of
-    an added token, go to the library whole. A file whose pre-tokeniser isn't the plain byte-level one
+    back by position. Texts with longer runs of white space around a blank are cut at those between two
+    non-blanks only; those with the string of an added token go to the library whole. A file whose pre-tokeniser isn't the plain byte-level one
     is always used whole.
 
     Pieces that are plainly one word are merged by rank instead of by the library, which takes a
@@ -110,10 +112,12 @@ class ByteBpe:
             return array(self.code, ids).tobytes()
         return array(self.code, self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
 
+    def apart(self, text: str) -> bool:
+        """Whether a text has pre-tokens that stand alone."""
+        return self.plain and not any(a in text for a in self.added)
+
     def cut(self, text: str) -> bool:
-        """Whether a text may be cut at its blanks."""
-        if not self.plain or any(a in text for a in self.added):
-            return False
+        """Whether a text may be cut at all its blanks."""
         plain = "  " not in text and "\n " not in text and not any(c in text for c in _RARE)
         return plain or not _LONG_RUN.search(text)
 
@@ -121,9 +125,9 @@ class ByteBpe:
         """Pieces that encode independently."""
         if not text:
             return []
-        if not self.cut(text):
+        if not self.apart(text):
             return [text]
-        first, *rest = text.split(" ")
+        first, *rest = text.split(" ") if self.cut(text) else _SINGLE.split(text)
         out = [" " + p for p in rest]
         return [first, *out] if first else out
 

@@ -2,66 +2,121 @@
 
 from __future__ import annotations
 
-import operator
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import ByteBpe, Pieces, SentencePieces
-from .common import held
+from .bytebpe import ByteBpe
+from .common import cut, held, trim
+from .sp_codec import PieceCodec
 
+#: So many of the most frequent pre-tokens have their counts in every worker; the counts of all others are joined.
+KNOWN = 100_000
+#: Distinct pre-tokens that a task adds up before it hands them on.
+FLUSH = 300_000
 
-class PieceCounts:
-    """Pieces of each distinct pre-token, counted once; documents bring pre-token frequencies.
 
-    The distinct table belongs to a worker and lives on over its batches: joined there, frequencies need
-    no shuffle. Past `limit` pre-tokens the older half goes, to be counted again if it comes.
-    """
+class PreTokens:
+    """Pre-tokens of a text, and how many pieces each has. None where a text can't be cut: the library then counts it whole."""
+
+    def __init__(self, path: str):
+        self.enc = PieceCodec(path) if path.endswith(".model") else ByteBpe(path)
+
+    def of(self, text: str) -> list[str] | None:
+        if isinstance(self.enc, PieceCodec):
+            return self.enc.words(text) if self.enc.independent else None
+        return self.enc.parts(text) if self.enc.apart(text) else None
 
-    def __init__(self, path: str, limit: int = 600_000):
-        self.enc = SentencePieces(path) if path.endswith(".model") else ByteBpe(path)
-        self.table = Pieces(self.pieces, limit)
+    def pieces(self, pre_tokens: list[str]) -> list[int]:
+        if isinstance(self.enc, PieceCodec):
+            self.enc._fill(self.enc.table.missing(set(pre_tokens)))
+            return [self.enc.table[w][0] for w in pre_tokens]
+        return [len(self.enc.encode(w)) // self.enc.type.itemsize for w in pre_tokens]
 
-    def pieces(self, pre_token: str) -> int:
-        return len(self.enc.encode(pre_token)) // self.enc.type.itemsize
+    def whole(self, text: str) -> int:
+        return len(self.enc.sp.encode(text) if isinstance(self.enc, PieceCodec) else self.enc.tok.encode(text, add_special_tokens=False).ids)
 
-    def frequencies(self, text: str) -> Counter:
-        return Counter(self.enc.parts(text) if isinstance(self.enc, ByteBpe) else self.enc.codec.words(text))
 
-    def of(self, texts: list[str]) -> list[int]:
-        if not isinstance(self.enc, ByteBpe):
-            return self.enc.counts(texts)
-        self.table.turn()
-        get = self.table.__getitem__
-        bags = map(self.frequencies, texts)
-        return [sum(map(operator.mul, map(get, b), b.values())) for b in bags]
+def pre_tokens(path: str) -> PreTokens:
+    return held("pre-tokens", path, PreTokens)
 
 
-def counter(path: str) -> PieceCounts:
-    return held("counter", path, PieceCounts)
+def distinct(docs: DataFrame, path: str) -> DataFrame:
+    """pre_token, n (occurrences in all texts), pieces: each distinct pre-token is counted once. Each task adds its own up first."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, total = pre_tokens(path), Counter()
 
-def token_count(path: str):
-    """A column function: text (null as empty) to its number of tokens."""
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["pre_token", "n"])
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                total.update(split.of(text or "") or ())
+                if len(total) > FLUSH:
+                    yield rows()
+                    total.clear()
+        yield rows()
+        total.clear()
+        trim()
 
     @F.arrow_udf("long")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array(counter(path).of([t or "" for t in texts.to_pylist()]), pa.int64())
+    def pieces(words: pa.Array) -> pa.Array:
+        return pa.array(pre_tokens(path).pieces(words.to_pylist()), pa.int64())
 
-    return of
+    each = docs.select("text").mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
+    return cut(each.select("pre_token", "n", pieces("pre_token").alias("pieces")))
+
+
+def counted(text: Column, path: str, known: dict[str, int], spark) -> Column:
+    """struct<own, rest, times>: pieces of a text's known pre-tokens, and the others with their frequencies."""
+    shared = spark.sparkContext.broadcast(known)  # KNOWN entries at most
+
+    @F.arrow_udf("own long, rest array<string>, times array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        split, get = pre_tokens(path), shared.value.get
+        own, rest, times = [], [], []
+        for text in texts.to_pylist():
+            parts = split.of(text or "")
+            if parts is None:
+                own.append(split.whole(text or ""))
+                rest.append([])
+                times.append([])
+                continue
+            bag = Counter(parts)
+            n = list(map(get, bag))
+            if None in n:
+                left = [(w, k) for (w, k), x in zip(bag.items(), n) if x is None]
+                rest.append([w for w, _ in left])
+                times.append([k for _, k in left])
+            else:
+                rest.append([])
+                times.append([])
+            own.append(sum(x * k for x, k in zip(n, bag.values()) if x is not None))
+        return pa.StructArray.from_arrays([pa.array(own, pa.int64()), pa.array(rest, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], ["own", "rest", "times"])
+
+    return of(text)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row, whole texts, in one pass without a shuffle.
+    """doc_id, n_bytes, n_tokens, over_limit for every row, whole texts.
 
-    Counts equal the library's for the whole text, with no begin, end or added special tokens; strings of
-    special tokens inside a text count as the library's default takes them. Null and empty texts have
-    0 bytes and 0 tokens; repeated rows are counted each; an empty table gives no rows; other columns
-    are ignored.
+    The pieces of each distinct pre-token of all texts are counted once; a document's pre-token frequencies meet these counts, the
+    most frequent in the worker, all others by a join, and are summed. Counts equal the library's for the whole text, with no begin,
+    end or added special tokens; strings of special tokens inside a text count as the library's default takes them, which counts
+    such texts whole, as it does all texts of a file whose pre-tokens don't stand alone. Null and empty texts have 0 bytes and 0
+    tokens; repeated rows are counted each; an empty table gives no rows; other columns are ignored.
     """
-    n = F.col("n_tokens")
-    return docs.select(
-        "doc_id", F.length(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("n_bytes"), token_count(path)("text").alias("n_tokens")
-    ).withColumn("over_limit", n > limit)
+    table = distinct(docs, path)
+    top = table.orderBy(F.desc("n"), "pre_token").limit(KNOWN).select("pre_token", "pieces").toArrow()
+    known = dict(zip(top["pre_token"].to_pylist(), top["pieces"].to_pylist()))
+    n_bytes = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+    rows = docs.select("doc_id", n_bytes.alias("n_bytes"), counted(F.col("text"), path, known, docs.sparkSession).alias("c")).select("doc_id", "n_bytes", "c.*")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # fixed once written
+    rest = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("pre_token"), F.col("r.times").alias("times"))
+    added = rest.join(table.select("pre_token", "pieces"), "pre_token").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("added"))
+    n = (F.col("own") + F.coalesce("added", F.lit(0))).alias("n_tokens")
+    return rows.join(added, "row", "left").select("doc_id", "n_bytes", n).withColumn("over_limit", F.col("n_tokens") > limit)
