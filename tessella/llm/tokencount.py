@@ -14,9 +14,10 @@ from .common import cut, held, trim
 from .sp_codec import PieceCodec
 
 #: So many of the most frequent pre-tokens have their counts in every worker; the counts of all others are joined.
-KNOWN = 100_000
+KNOWN = 1_000_000
 #: Distinct pre-tokens that a task adds up before it hands them on.
-FLUSH = 300_000
+FLUSH = 1_000_000
+NUL = "\x00"
 
 
 class PreTokens:
@@ -45,7 +46,10 @@ def pre_tokens(path: str) -> PreTokens:
 
 
 def distinct(docs: DataFrame, path: str) -> DataFrame:
-    """pre_token, n (occurrences in all texts), pieces: each distinct pre-token is counted once. Each task adds its own up first."""
+    """pre_token, n (occurrences in all texts), pieces of each distinct pre-token that occurs again. Each task adds its own up first.
+
+    Those that occur once in all texts are left to where they occur, where they are counted once just as well.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, total = pre_tokens(path), Counter()
@@ -63,40 +67,48 @@ def distinct(docs: DataFrame, path: str) -> DataFrame:
         total.clear()
         trim()
 
+    each = docs.select("text").mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
+    return cut(each.where("n > 1").select("pre_token", "n", pieces(path)("pre_token").alias("pieces")))
+
+
+def pieces(path: str):
+    """A column function: a pre-token to its number of pieces, null to null."""
+
     @F.arrow_udf("long")
-    def pieces(words: pa.Array) -> pa.Array:
-        return pa.array(pre_tokens(path).pieces(words.to_pylist()), pa.int64())
+    def of(words: pa.Array) -> pa.Array:
+        own = [w for w in words.to_pylist() if w is not None]
+        counts = iter(pre_tokens(path).pieces(own))
+        return pa.array([next(counts) if w else None for w in words.is_valid().to_pylist()], pa.int64())
 
-    each = docs.select("text").mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
-    return cut(each.select("pre_token", "n", pieces("pre_token").alias("pieces")))
+    return of
 
 
 def counted(text: Column, path: str, known: dict[str, int], spark) -> Column:
-    """struct<own, rest, times>: pieces of a text's known pre-tokens, and the others with their frequencies."""
+    """struct<own, rest>: pieces of a text's known pre-tokens, and the others, each as often as it occurs, between NULs. A pre-token with a NUL is counted here."""
     shared = spark.sparkContext.broadcast(known)  # KNOWN entries at most
 
-    @F.arrow_udf("own long, rest array<string>, times array<long>")
+    @F.arrow_udf("own long, rest string")
     def of(texts: pa.Array) -> pa.Array:
         split, get = pre_tokens(path), shared.value.get
-        own, rest, times = [], [], []
+        own, rest = [], []
         for text in texts.to_pylist():
             parts = split.of(text or "")
             if parts is None:
                 own.append(split.whole(text or ""))
-                rest.append([])
-                times.append([])
+                rest.append(None)
                 continue
             bag = Counter(parts)
-            n = list(map(get, bag))
-            if None in n:
-                left = [(w, k) for (w, k), x in zip(bag.items(), n) if x is None]
-                rest.append([w for w, _ in left])
-                times.append([k for _, k in left])
-            else:
-                rest.append([])
-                times.append([])
-            own.append(sum(x * k for x, k in zip(n, bag.values()) if x is not None))
-        return pa.StructArray.from_arrays([pa.array(own, pa.int64()), pa.array(rest, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], ["own", "rest", "times"])
+            total, left = 0, []
+            for w, k in bag.items():
+                if (n := get(w)) is None and NUL in w:
+                    (n,) = split.pieces([w])
+                if n is None:
+                    left += [w] * k
+                else:
+                    total += n * k
+            own.append(total)
+            rest.append(NUL.join(left) if left else None)
+        return pa.StructArray.from_arrays([pa.array(own, pa.int64()), pa.array(rest, pa.string())], ["own", "rest"])
 
     return of(text)
 
@@ -116,7 +128,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     n_bytes = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
     rows = docs.select("doc_id", n_bytes.alias("n_bytes"), counted(F.col("text"), path, known, docs.sparkSession).alias("c")).select("doc_id", "n_bytes", "c.*")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))  # fixed once written
-    rest = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("pre_token"), F.col("r.times").alias("times"))
-    added = rest.join(table.select("pre_token", "pieces"), "pre_token").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("added"))
+    rest = rows.select("row", F.explode(F.split("rest", r"\x00")).alias("pre_token"))
+    met = rest.join(table.select("pre_token", F.col("pieces").alias("known")), "pre_token", "left")
+    met = met.select("row", F.coalesce("known", pieces(path)(F.when(F.col("known").isNull(), F.col("pre_token")))).alias("pieces"))
+    added = met.groupBy("row").agg(F.sum("pieces").alias("added"))
     n = (F.col("own") + F.coalesce("added", F.lit(0))).alias("n_tokens")
     return rows.join(added, "row", "left").select("doc_id", "n_bytes", n).withColumn("over_limit", F.col("n_tokens") > limit)
