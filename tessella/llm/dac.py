@@ -138,7 +138,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     slim = docs.select("doc_id", "text")
-    slim.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(segments, FILE_SCHEMA).write.mode("overwrite").parquet(path)
+    made = slim.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(segments, FILE_SCHEMA)
+    # Pages are plain and not compressed, so a segment's bytes in the file are those that pack() made.
+    made.write.mode("overwrite").option("compression", "uncompressed").option("parquet.enable.dictionary#data", "false").parquet(path)
+
+
+def spans(files: DataFrame) -> DataFrame:
+    """part, seg, n_ids, first (ids of all segments before it): where each segment lies among all ids."""
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a partition
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("part_base"))
+    per = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    own = files.select("part", "seg", "n_ids", F.coalesce(F.sum("n_ids").over(per), F.lit(0)).alias("seg_base"))
+    return own.join(F.broadcast(base), "part").select("part", "seg", "n_ids", (F.col("part_base") + F.col("seg_base")).alias("first"))
 
 
 def read(spark, path: str) -> DataFrame:
@@ -147,11 +159,6 @@ def read(spark, path: str) -> DataFrame:
     ids_crc32 is the crc32 of the ids as little-endian unsigned 32-bit integers.
     """
     files = spark.read.parquet(path)
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a partition
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("part_base"))
-    per = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    seg_base = files.select("part", "seg", F.coalesce(F.sum("n_ids").over(per), F.lit(0)).alias("seg_base"))
     fields = [("part", pa.int32()), ("seg", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +171,32 @@ def read(spark, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], schema=pa.schema(fields))
 
     rows = files.select("part", "seg", "doc_ids", "starts", "data").mapInArrow(documents, "part int, seg int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return (
-        rows.join(seg_base, ["part", "seg"])
-        .join(F.broadcast(base), "part")
-        .select("doc_id", (F.col("part_base") + F.col("seg_base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
-    )
+    return rows.join(spans(files).drop("n_ids"), ["part", "seg"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def tokens_at(numbers: DataFrame, path: str) -> DataFrame:
+    """number, id of each row of `numbers` (number long): the id with so many ids of the whole corpus before it.
+
+    A number meets its segment by the run of SEGMENT_IDS ids that it lies in, and the id is read by its address there. Only the
+    segments asked for are read, each once whatever is asked of it. A null number, one below 0 or one past the last id has a null
+    id; repeated numbers are answered each; an empty table gives no rows; other columns are left out.
+    """
+    files, run = numbers.sparkSession.read.parquet(path), lambda c: F.floor(c / SEGMENT_IDS)
+    where = spans(files).withColumn("run", F.explode(F.sequence(run(F.col("first")), run(F.col("first") + F.col("n_ids") - 1))))
+    asked = numbers.select("number").where("number >= 0").distinct().withColumn("run", run(F.col("number")))
+    found = asked.join(where, "run").where(F.col("number").between(F.col("first"), F.col("first") + F.col("n_ids") - 1))
+    # Distinct numbers of a segment are no more than its ids.
+    by_segment = found.groupBy("part", "seg", "first").agg(F.collect_list(F.col("number") - F.col("first")).alias("at"))
+    fields = pa.schema([("number", pa.int64()), ("id", pa.int64())])
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, at, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+                s = Segment(data)
+                yield pa.RecordBatch.from_arrays([pa.array([first + i for i in at], pa.int64()), pa.array([s[i] for i in at], pa.int64())], schema=fields)
+
+    got = files.select("part", "seg", "data").join(by_segment, ["part", "seg"]).select("first", "at", "data").mapInArrow(ids, "number long, id long")
+    return numbers.select("number").join(got, "number", "left")
 
 
 def written_and_read(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:

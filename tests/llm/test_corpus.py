@@ -90,6 +90,23 @@ def test_dac_files(spark, docs, real, tmp_path):
         assert got == want
 
 
+def test_dac_tokens_by_number(spark, docs, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(dac, "SEGMENT_IDS", 1 << 10)
+    tok, path = Tokenizer.from_file(tokenizer_path(BPE)), str(tmp_path / "files")
+    dac.write(docs, path, tokenizer_path(BPE))
+    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+    every = [i for r in rows for i in [*tok.encode(r.text or "", add_special_tokens=False).ids, 0]]
+    asked = [*range(0, len(every), 7), 0, 0, len(every) - 1, len(every), -1, None, 10**12]
+    got = dac.tokens_at(spark.createDataFrame([(n, "x") for n in asked], "number long, id string"), path).collect()
+    want = [(n, every[n] if n is not None and 0 <= n < len(every) else None) for n in asked]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert dac.tokens_at(spark.createDataFrame([], "number long"), path).count() == 0
+    dac.write(docs.limit(0), path, tokenizer_path(BPE))
+    assert [tuple(r) for r in dac.tokens_at(spark.createDataFrame([(0,)], "number long"), path).collect()] == [(0, None)]
+
+
 def test_shards_are_contiguous_and_balanced(docs, real):
     for df, shards in ((real, 8), (docs, 3), (docs.limit(0), 8)):
         rows = sorted(sharding.assign(df, shards).collect(), key=lambda r: (r.shard, r.slot))
