@@ -290,6 +290,11 @@ def _linked(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
 
 
+def _unfolded(bucketed: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, root, band, key of the texts' large buckets. A text meets its label once, not once a bucket."""
+    return cut(bucketed.join(labels, "id").withColumn("bucket", F.explode("buckets")).select("*", "bucket.*").drop("buckets", "bucket"))
+
+
 def _settled(rows: DataFrame, stock: DataFrame) -> DataFrame | None:
     """Links between the classes of every bucket in `rows` that holds several: all its texts against all, block by block.
 
@@ -365,6 +370,7 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
     stock = cut(found.select("id", "sig", "text").dropDuplicates(["id"]))
     labels = cut(wanted.select("id", F.col("id").alias("root")))
     large, tested = shared.where(F.col("n") > SMALL), None
+    bucketed = cut(large.groupBy("id").agg(F.first("central").alias("central"), F.collect_list(F.struct("band", "key")).alias("buckets")))
     side = lambda x, *more: stock.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in more))
     for turn in range(ROUNDS):
         own = lambda k: F.xxhash64("id", F.lit(k))
@@ -375,7 +381,7 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
         else:
             # Heads come from the bucket's largest class, so that only the texts outside it are tested.
             sizes = labels.groupBy("root").agg(F.count("*").alias("texts"))
-            now = large.join(labels.join(sizes, "root"), "id")
+            now = _unfolded(bucketed, labels.join(sizes, "root"))
             pairs = _stars(now, ["band", "key"], F.struct(-F.col("texts"), F.xxhash64("root", F.lit(turn)), drawn(turn), F.col("id")))
         pairs = cut(pairs)
         if pairs.isEmpty():  # no bucket of several classes is left
@@ -387,7 +393,7 @@ def keyed_classes(docs: DataFrame) -> DataFrame:
         labels = relabelled(labels, fresh)
         release(docs.sparkSession)
     else:
-        fresh = _settled(large.join(labels, "id"), stock)
+        fresh = _settled(_unfolded(bucketed.drop("central"), labels), stock)
         if fresh is not None:
             labels = relabelled(labels, fresh)
         release(docs.sparkSession)
