@@ -20,8 +20,8 @@ BLOCK_PIXELS, BLOCK_BYTES = 1 << 16, 8 << 20
 
 
 def home_cell(plan: SlicPlan) -> Column:
-    """Linear index of a pixel's lattice cell."""
-    g = [F.least(F.expr(f"cast({a} div {s} as int)"), F.lit(n - 1)) for a, s, n in zip("zyx", plan.sp_shape, plan.sp_grid)]
+    """Linear index of a pixel's lattice cell; of the nearest one, if the pixel lies outside."""
+    g = [F.greatest(F.least(F.expr(f"cast({a} div {s} as int)"), F.lit(n - 1)), F.lit(0)) for a, s, n in zip("zyx", plan.sp_shape, plan.sp_grid)]
     return ((g[0] * plan.sp_grid[1] + g[1]) * plan.sp_grid[2] + g[2]).cast("long")
 
 
@@ -50,13 +50,17 @@ def distance(center: Column, plan: SlicPlan) -> Column:
     return colour + place / plan.spread
 
 
-def assign(home: DataFrame, centers: DataFrame, plan: SlicPlan) -> DataFrame:
+def assign(home: DataFrame, centers: DataFrame, plan: SlicPlan, images: int | None = None) -> DataFrame:
     """home's rows with c, and its center's position pz, py, px.
 
     The least distance under LIMIT wins, at a tie the lowest c; a pixel without any takes center 0.
-    Cells are joined by key; a cell's list is bounded by 125 centers.
+    Cells are joined by key; a cell's list is bounded by 125 centers. `images`: how many there are, if known; where their lists fit
+    the bound together they are broadcast, so that a cell of very many pixels isn't one task's work.
     """
-    met = home.join(candidates(centers, plan), ["image_id", "cell"])
+    near = candidates(centers, plan)
+    if images and images * plan.n_centers * min(plan.n_centers, (2 * RADIUS + 1) ** 3) * 8 * (plan.channels + 4) <= BROADCAST_BYTES:
+        near = F.broadcast(near)
+    met = home.join(near, ["image_id", "cell"])
     dist = F.transform("cands", lambda k: F.struct(distance(k, plan).alias("d"), k["c"].alias("c"), k["cz"].alias("cz"), k["cy"].alias("cy"), k["cx"].alias("cx")))
     best = F.array_min(F.filter(dist, lambda s: s["d"] < LIMIT))
     won = met.select("image_id", "z", "y", "x", "features", "cell", best.alias("best"), "zero")

@@ -15,9 +15,9 @@ from .operators.centers import init_centers, partial_sums, update
 from .operators.connectivity import components
 from .operators.slic import prepared, slic
 from .plans.geometry import SlicPlan, plan
-from .sources.images import EVENT_TYPES, colour_image, embedding_image, events_image, infer_shape, lineitem_image
+from .sources.images import EMBEDDING_BOX, EVENT_TYPES, colour_image, embedding_image, events_image, lineitem_image
 
-#: Each gives a pixel table and its shape.
+#: Each gives a pixel table and the shape that its lattice is laid over. Vectors may lie outside theirs: the nearest cell is their home.
 IMAGES = {
     "ev": events_image,
     "evt": lambda s, d: events_image(s, d, True),
@@ -25,7 +25,7 @@ IMAGES = {
     "li2": lineitem_image,
     "li3": lambda s, d: lineitem_image(s, d, "month"),
     "li4": lambda s, d: lineitem_image(s, d, "year"),
-    "emb": lambda s, d: (px := embedding_image(s, d), infer_shape(px)),
+    "emb": lambda s, d: (embedding_image(s, d), EMBEDDING_BOX),
 }
 #: Dimensions of the array that each image stands for, and segments.
 ASKED = {"ev": (3, 30), "evt": (3, 30), "rgb": (3, 30), "li2": (3, 14), "li3": (4, 200), "li4": (4, 40), "emb": (3, 20)}
@@ -66,7 +66,7 @@ def assign_round1(name: str, **kw):
         px, shape = IMAGES[name](spark, sf_dir)
         p = plan_of(name, shape, **kw)
         home = prepared(px, p)
-        return assign_pixels(home, init_centers(home, p), p).select("z", "y", "x", (F.col("c") + 1).alias("label"))
+        return assign_pixels(home, init_centers(home, p), p, images=1).select("z", "y", "x", (F.col("c") + 1).alias("label"))
 
     return run
 
