@@ -21,7 +21,7 @@ BLOCK_PIXELS, BLOCK_BYTES = 1 << 16, 8 << 20
 
 def home_cell(plan: SlicPlan) -> Column:
     """Linear index of a pixel's lattice cell; of the nearest one, if the pixel lies outside."""
-    g = [F.greatest(F.least(F.expr(f"cast({a} div {s} as int)"), F.lit(n - 1)), F.lit(0)) for a, s, n in zip("zyx", plan.sp_shape, plan.sp_grid)]
+    g = [F.greatest(F.least(F.expr(f"{a} div {s}"), F.lit(n - 1)), F.lit(0)) for a, s, n in zip("zyx", plan.sp_shape, plan.sp_grid)]
     return ((g[0] * plan.sp_grid[1] + g[1]) * plan.sp_grid[2] + g[2]).cast("long")
 
 
@@ -183,7 +183,7 @@ def blocks(home: DataFrame, plan: SlicPlan) -> DataFrame:
         if rows:
             yield from out()
 
-    return home.select("image_id", "z", "y", "x", "features").mapInArrow(run, BLOCKS)
+    return home.select("image_id", *(F.col(a).cast("int") for a in "zyx"), "features").mapInArrow(run, BLOCKS)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], centers: Centers):

@@ -103,10 +103,10 @@ EMBEDDING_BOX: Box = (1, 20, 25, 64)
 
 
 def embedding_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors in rows of 25, each a pixel of 64 channels in thousandths; every row of the table is a pixel. Of longer vectors the SQL has the first 64 values, too."""
+    """Vectors in rows of 25, each a pixel of 64 channels in thousandths; every row of the table is a pixel, and y is a long, as ids may be large. Of longer vectors the SQL has the first 64 values, too."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.select(
-        F.lit(0).cast("long").alias("image_id"), F.lit(0).alias("z"), F.expr("cast(vec_id div 25 as int)").alias("y"), (F.col("vec_id") % 25).cast("int").alias("x"),
+        F.lit(0).cast("long").alias("image_id"), F.lit(0).alias("z"), F.expr("vec_id div 25").alias("y"), (F.col("vec_id") % 25).cast("int").alias("x"),
         F.transform(F.slice("embedding", 1, EMBEDDING_BOX[3]), lambda v: F.round(v.cast("double") * 1000).cast("float")).alias("features"),
     )
 

@@ -1,4 +1,4 @@
-"""The query on vectors against its SQL, on tables that don't fill a box of 20 by 25."""
+"""The queries on vectors against their SQL, on tables that don't fill a box of 20 by 25."""
 
 import duckdb
 import numpy as np
@@ -9,7 +9,8 @@ import pytest
 from tessella import queries
 from tessella.operators.assign import assign
 from tessella.operators.centers import init_centers
-from tessella.operators.slic import prepared
+from tessella.operators.slic import prepared, slic
+from tessella.sources.images import blobs
 
 
 def vectors(ids, seed=0, size=64):
@@ -24,6 +25,7 @@ TABLES = {
     "smaller": vectors(range(7)),
     "gaps": vectors(range(3, 1500, 7)),
     "repeats": vectors([*range(30), *range(20)]),
+    "large_ids": vectors([0, 600, 10**11, 10**15, 2**62]),
     "far": vectors([0, 1_200_000, 1_249_000, 1_251_000, 1_300_000]),
     "before_zero": vectors(range(-700, 40, 9)),
     "no_id_or_vector": [*vectors(range(520)), (None, [0.1] * 64), (520, None), (521, [None] * 64), (522, [0.1] * 63), (523, [])],
@@ -47,11 +49,24 @@ def both(spark, name, sf_dir):
     return (sorted(map(tuple, queries.QUERIES[name](spark, sf_dir).select(*theirs.columns).collect()), key=key), sorted(theirs.fetchall(), key=key))
 
 
+def test_image_equals_sql(spark, table):
+    ours, theirs = both(spark, "image_emb", table)
+    assert ours == theirs
+
+
 def test_assignment_equals_sql(spark, table):
     ours, theirs = both(spark, "assign_round1_emb", table)
     assert ours == theirs
 
 
+def test_long_places_in_blocks(spark):
+    """Arrow batches hold places of 32 bits, of whatever type a table has them."""
+    px = blobs(spark, 8)
+    wide = px.withColumns({a: px[a].cast("long") for a in "zyx"})
+    ours, theirs = (sorted(map(tuple, slic(p, n_segments=8, max_iter=2).collect())) for p in (wide, px))
+    assert ours == theirs and len(ours) == 512
+
+
 def test_candidates_of_few_images_are_broadcast(spark):
     sf = "/root/testdata/sf0.01"
     px, shape = queries.IMAGES["emb"](spark, sf)
